@@ -1,0 +1,69 @@
+"""Tables written to the folder that every executor of the cluster can reach.
+
+A written table cuts lineage: a lost executor costs at most the stage that was
+running, and a table that is read twice is computed once.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_kept: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", where)
+        _kept[where] = spark
+    return where.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_kept() -> None:
+    for path, spark in _kept.items():
+        if spark._sc._jsc is not None:
+            _delete(spark, path)
+
+
+class Scratch:
+    """``with Scratch(spark) as s``: ``s.table(df)`` writes and rereads a DataFrame.
+
+    Leaving the block deletes its tables, but for those written with ``keep=True``,
+    which last until the process ends (the returned DataFrame reads them lazily).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if keep:
+            _kept[path] = self.spark
+        else:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df_paths: list[str] | None = None) -> None:
+        for path in self.paths if df_paths is None else df_paths:
+            _delete(self.spark, path)
+        self.paths = [] if df_paths is None else [p for p in self.paths if p not in df_paths]
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
