@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.mixing import mix_sources, temperature_weights
+from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
+from tessera.llm.url_filter import filter_urls, host, path
+from tessera.llm.warc import derivatives, responses
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,13 +23,56 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _hashed(*parts: Column) -> Column:
+    """The first 32 bits of the parts' MD5 as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated block list over the hosts of ``pages``: domains added and removed in turn, and one path for some hosts."""
+    hosts = pages.select(host(F.col("url")).alias("host"), F.regexp_extract(path(F.col("url")), "^/[^/]+", 0).alias("top")).where("host <> ''").distinct()
+    domains = hosts.select("host").distinct().where(_hashed(F.lit("listed"), F.col("host")) % 10 < 6).select(F.lit("domains").alias("list"), F.col("host").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("turn"))
+    parents = hosts.where("size(split(host, '[.]')) > 3").select(F.substring_index("host", ".", -3).alias("key")).distinct().where(_hashed(F.lit("parent"), F.col("key")) % 10 < 4).select(F.lit("parents").alias("list"), "key", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("turn"))
+    paths = hosts.where("top <> ''").where(_hashed(F.lit("path"), F.col("host"), F.col("top")) % 10 < 3).select(F.lit("paths").alias("list"), F.concat("host", "top").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("turn"))
+    every = domains.unionByName(parents).unionByName(paths)
+    dated = F.timestamp_seconds(F.lit(1688169600) + _hashed(F.col("key"), F.col("turn").cast("string")) % 46656000)
+    return every.select("list", "key", F.when(F.col("turn") % 2 == 0, "add").otherwise("remove").alias("action"), dated.alias("dated"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    second = F.lit(1704067200) + _hashed(F.lit("fetched"), F.col("page_id").cast("string")) % 31536000
+    captures = pages.withColumn("fetched_s", second).withColumn("fetched", F.timestamp_seconds("fetched_s"))
+    return filter_urls(captures, dated_list(pages)).drop("fetched")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + _hashed(F.lit("fetched"), F.col("page_id").cast("string")) % 31536000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return derivatives(responses(_read(spark, sf_dir, "pages"), day)).withColumnRenamed("id_of_source", "page_id")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return mix_sources(docs, temperature_weights(docs, alpha=0.5), seed=1)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_read(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_url_filters": op4_url_filters,
+    "op5_warc": op5_warc,
+    "op6_mix_sources": op6_mix_sources,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +81,40 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op4_url_filters": r"""
+        WITH captures AS (
+          SELECT page_id, url, 1704067200 + ('0x' || substr(md5('fetched|' || page_id), 1, 8))::BIGINT % 31536000 AS fetched_s,
+                 regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1) AS host,
+                 regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+          FROM pages),
+        hosts AS (SELECT DISTINCT host, regexp_extract(path, '^/[^/]+', 0) AS top FROM captures WHERE host <> ''),
+        turns AS (
+          SELECT 'domains' AS list, host AS key, unnest([0, 1, 2, 3]) AS turn FROM (SELECT DISTINCT host FROM hosts) WHERE ('0x' || substr(md5('listed|' || host), 1, 8))::BIGINT % 10 < 6
+          UNION ALL
+          SELECT 'parents', key, unnest([0, 1]) FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS key FROM hosts WHERE len(string_split(host, '.')) > 3) WHERE ('0x' || substr(md5('parent|' || key), 1, 8))::BIGINT % 10 < 4
+          UNION ALL
+          SELECT 'paths', host || top, unnest([0, 1, 2]) FROM hosts WHERE top <> '' AND ('0x' || substr(md5('path|' || host || '|' || top), 1, 8))::BIGINT % 10 < 3),
+        entries AS (SELECT list, key, turn % 2 AS off, 1688169600 + ('0x' || substr(md5(key || '|' || turn), 1, 8))::BIGINT % 46656000 AS dated FROM turns),
+        single AS (SELECT list, key, dated, max(off) AS off FROM entries GROUP BY ALL),
+        spans AS (SELECT list, key, off, dated AS since, lead(dated) OVER (PARTITION BY list, key ORDER BY dated) AS until FROM single),
+        met AS (
+          SELECT page_id, list || ':' || key AS what FROM captures, spans
+          WHERE off = 0 AND since <= fetched_s AND (until IS NULL OR fetched_s < until)
+            AND (host = key OR ends_with(host, '.' || key) OR host || path = key OR (key LIKE '%/%' AND starts_with(host || path, key || '/'))))
+        SELECT page_id, url, fetched_s, count(what) > 0 AS blocked, count(what) AS n_matches, min(what) AS matched
+        FROM captures LEFT JOIN met USING (page_id) GROUP BY page_id, url, fetched_s
+    """,
+    "op6_mix_sources": r"""
+        WITH sized AS (SELECT source, count(*) AS n, sqrt(count(*)) AS part FROM documents GROUP BY source),
+        rated AS (SELECT source, part / sum(part) OVER () * sum(n) OVER () / n AS rate FROM sized),
+        steps AS (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT))) AS k FROM rated),
+        mass AS (SELECT source, k, exp(sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM steps),
+        cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS at_most FROM mass),
+        lists AS (SELECT source, list(at_most ORDER BY k) AS at_most FROM cdf GROUP BY source),
+        drawn AS (
+          SELECT d.*, len(list_filter(l.at_most, lambda p: p <= ('0x' || substr(md5('1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
+          FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
+        each AS (SELECT *, unnest(generate_series(1, copies)) AS nth FROM drawn WHERE copies > 0)
+        SELECT doc_id, text, lang, source, n_chars, CAST(nth AS INT) AS copy, md5('order1|' || doc_id || '|' || nth) AS shuffle_key FROM each
+    """,
 }
