@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.lm_scoring import score_texts
 from tessera.llm.mixing import mix_sources, temperature_weights
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -19,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -67,6 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None =
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
