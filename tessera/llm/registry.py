@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.lm_scoring import score_texts
 from tessera.llm.mixing import mix_sources, temperature_weights
+from tessera.llm.ngram_join import ngram_components
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import filter_urls, host, path
@@ -61,6 +62,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, temperature_weights(docs, alpha=0.5), seed=1)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_read(spark, sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
