@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.lm_scoring import score_texts
 from tessera.llm.mixing import mix_sources, temperature_weights
@@ -66,6 +67,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity", "first_word", "n_words")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_join": op7_ngram_join,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
@@ -129,4 +135,20 @@ ORACLES: dict[str, str] = {
         each AS (SELECT *, unnest(generate_series(1, copies)) AS nth FROM drawn WHERE copies > 0)
         SELECT doc_id, text, lang, source, n_chars, CAST(nth AS INT) AS copy, md5('order1|' || doc_id || '|' || nth) AS shuffle_key FROM each
     """,
+    "op8_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        b0 AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+        b AS (SELECT item_id, w, len(w) AS l, least(len(w), 5) AS width, len(w) - least(len(w), 5) + 1 AS m FROM b0 WHERE len(w) > 0),
+        bi AS (SELECT *, unnest(generate_series(1, m)) AS i FROM b),
+        bs AS (SELECT item_id, l, width, m, array_to_string(w[i:i + width - 1], ' ') AS sh, count(*) AS c FROM bi GROUP BY ALL),
+        di AS (SELECT doc_id, w, len(w) AS n, width, unnest(generate_series(1, len(w) - width + 1)) AS p FROM d, (SELECT DISTINCT width FROM b) WHERE len(w) >= width),
+        ds AS (SELECT doc_id, n, width, p, array_to_string(w[p:p + width - 1], ' ') AS sh FROM di),
+        hits AS (SELECT doc_id, n, item_id, l, ds.width AS width, m, least(m, n - ds.width + 1) AS own, p, ds.sh AS sh, c FROM ds JOIN bs ON ds.sh = bs.sh AND ds.width = bs.width),
+        wins AS (SELECT DISTINCT doc_id, item_id, m, own, n, l, unnest(generate_series(greatest(1, p - m + 1), least(p, greatest(1, n - l + 1)))) AS s FROM hits),
+        met AS (SELECT wins.doc_id, wins.item_id, wins.m, wins.own, wins.n, wins.l, s, sh, least(count(*), max(c)) AS k
+                FROM wins JOIN hits ON wins.doc_id = hits.doc_id AND wins.item_id = hits.item_id AND p BETWEEN s AND s + wins.own - 1 GROUP BY ALL),
+        sim AS (SELECT doc_id, item_id, s, least(l, n) AS n_words, sum(k) AS shared, m + own - sum(k) AS every FROM met GROUP BY doc_id, item_id, s, l, n, m, own),
+        best AS (SELECT *, shared / every AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / every DESC, s) AS nth FROM sim WHERE shared * 100 >= every * 80)
+        SELECT doc_id, item_id, similarity, CAST(s AS INT) AS first_word, CAST(n_words AS INT) AS n_words FROM best WHERE nth = 1
+    """,
 }
