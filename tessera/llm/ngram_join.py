@@ -5,8 +5,9 @@ one node. The search is exact:
 
 1. A sketch of fixed size counts n-grams over all documents; (count, hash) is a global order, rare ones first. Nodes that
    link share one of the first n - ceil(num * n / den) + 1 n-grams of each in that order, so lists of those prefixes
-   are built on the cluster, and neighbours in a list, sorted by set size and cut where sizes get too different, are chained;
-   components of the chains are clusters outside of which there is no link.
+   are built on the cluster. In a list of up to ``PAIRED`` nodes those pairs are joined whose sizes and places of the shared n-gram
+   allow the overlap needed; in a longer one neighbours by set size are chained, but for gaps that no link can
+   span. Components of what is joined are clusters outside of which there is no link.
 2. A cluster is dealt into blocks of about ``BLOCK_NODES`` nodes. Within a block every node is searched by T-occurrence: the
    shortest inverted lists are merged by a heap, the T - 1 longest are probed by binary search (DivideSkip), and nodes
    that reach the overlap needed are links; of the links found a task sends those that join two parts. A cluster of one block is then
@@ -37,6 +38,8 @@ from tessera.llm.words import Slice, distinct_shingles, mix, slices
 
 SKETCH_BITS = 20
 BLOCK_NODES = 384
+PAIRED = 64
+MAX_BROADCAST = 500_000
 
 
 def node_keys(s: Slice, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(token, n, node): the n-grams of each node's prefix. A task sends a set once."""
+    """(token, n, place, node): the n-grams of each node's prefix. A task sends a set once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 << SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,36 +111,71 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray)
                 order = np.argsort((doc << 32) + frequency, kind="stable")  # ties stay in the order of hashes
                 doc, h = doc[order], h[order]
                 first = np.searchsorted(doc, np.arange(s.n_docs))
-                within = np.arange(len(doc)) - first[doc] < (n - -(-num * n // den) + 1)[doc]
-                doc, h = doc[within], h[within]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[doc]), binaries(names).take(pa.array(doc))], ["token", "n", "node"])
-
-    return docs.mapInArrow(run, "token long, n long, node binary")
-
-
-def chains(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that join neighbours in each token's list; a task sends at most one for each node."""
+                place = np.arange(len(doc)) - first[doc]
+                within = place < (n - -(-num * n // den) + 1)[doc]
+                doc, h, place = doc[within], h[within], place[within]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32)), binaries(names).take(pa.array(doc))], ["token", "n", "place", "node"])
+
+    return docs.mapInArrow(run, "token long, n int, place int, node binary")
+
+
+def joined(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between nodes of a token's list that may link, or chains through them; a task sends at most one for each node."""
+
+    def pairs(token: np.ndarray, n: np.ndarray, place: np.ndarray, long: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Rows to be joined; rows are sorted by token and n, ``long`` marks rows of long lists."""
+        step = 1
+        at = np.flatnonzero(token[1:] == token[:-1]) + 1
+        chained = at[long[at]]
+        chained = chained[den * n[chained - 1] >= num * n[chained]]
+        yield from zip((chained - 1).tolist(), chained.tolist())
+        at = at[~long[at]]
+        while len(at):
+            i, j = at, at - step
+            needed = -(-num * (n[i] + n[j]) // (num + den))
+            able = (den * n[j] >= num * n[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed)
+            yield from zip(j[able].tolist(), i[able].tolist())
+            step += 1
+            at = at[at >= step]
+            at = at[token[at] == token[at - step]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = UnionFind()
-        last: tuple[int, int, bytes] | None = None
-        for batch in batches:
-            token, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rest: tuple | None = None  # rows of the last list, which may go on
+        rest_long = False
+
+        def work(columns: tuple, first_long: bool, last: bool) -> tuple[tuple | None, bool]:
+            token, n, place, node = columns
             if not len(token):
-                continue
-            node = batch.column(2)
-            if last is not None and last[0] == token[0] and den * last[1] >= num * n[0]:
-                sets.union(last[2], node[0].as_py())
-            for i in np.flatnonzero((token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])).tolist():
-                sets.union(node[i].as_py(), node[i + 1].as_py())
-            last = (token[-1], n[-1], node[-1].as_py())
+                return None, False
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lengths = np.diff(np.append(starts, len(token)))
+            is_long = lengths > PAIRED
+            is_long[0] |= first_long
+            keep = None
+            end = len(token)
+            if not last:
+                keep = slice(end - 1, end) if is_long[-1] else slice(starts[-1], end)
+                end = end if is_long[-1] else starts[-1]
+            long = np.repeat(is_long, lengths)[:end]
+            for a, b in pairs(token[:end], n[:end], place[:end], long):
+                if node[a] != node[b]:
+                    sets.union(node[a], node[b])
+            return (None if keep is None else (token[keep], n[keep], place[keep], node[keep])), bool(is_long[-1])
+
+        for batch in batches:
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), np.array(batch.column(3).to_pylist() + [None], object)[:-1])
+            columns = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
+            rest, rest_long = work(columns, rest_long, last=False)
+        if rest is not None:
+            work(rest, rest_long, last=True)
         yield star_batch(sets)
 
     return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a binary, b binary")
 
 
 def members(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """(node, grams) of the nodes that a Bloom filter lets pass: sorted 64-bit hashes."""
+    """(node, grams) of the nodes that a Bloom filter lets pass: sorted 64-bit hashes. Tasks that meet a set each send it."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # BLOOM_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +189,7 @@ def members(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
                 at = np.flatnonzero(new & may_hold(shared.value, keys[:, 0]))
                 yield pa.RecordBatch.from_arrays([binaries([names[i] for i in at]), pa.array([h[starts[i] : starts[i + 1]].tobytes() for i in at], pa.binary())], ["node", "grams"])
 
-    return docs.mapInArrow(run, "node binary, grams binary").groupBy("node", "grams").agg(F.lit(1).alias("one")).drop("one")
+    return docs.mapInArrow(run, "node binary, grams binary")
 
 
 class InvertedIndex:
@@ -246,11 +284,13 @@ def searched(dealt: DataFrame, keys: list[str], num: int, den: int) -> DataFrame
                 if key != now:
                     found += links(group)
                     now, group = key, []
+                if group and group[-1][1:4] == (query[i], part[i], node[i]) and group[-1][0] == host[i]:
+                    continue  # the same set from another task
                 group.append((host[i], query[i], part[i], node[i], np.frombuffer(grams[i].as_py(), np.uint64)))
             yield edge_batch(found)
         yield edge_batch(list(links(group)))
 
-    return dealt.select(*keys, "host", "query", "part", "node", "grams").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a binary, b binary")
+    return dealt.select(*keys, "host", "query", "part", "node", "grams").repartition(*keys).sortWithinPartitions(*keys, "host", "node").mapInArrow(run, "a binary, b binary")
 
 
 def edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -265,10 +305,12 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
         made = s.table(profile(texts, size))
         sketch = combined(made.where("block is not null").select("block", "content"), 1 << SKETCH_BITS, "uint32", "sum")
         rows = made.where("block is null").select("id", "n", "node")
-        clusters = s.table(components(chains(prefixes(texts, size, num, den, sketch), num, den), s))
+        clusters = s.table(components(joined(prefixes(texts, size, num, den, sketch), num, den), s))
         sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("n_blocks"))
         wanted = bloom(clusters, "node")
-        sets = s.table(members(texts, size, wanted).join(clusters, "node").join(sizes, "component").select(F.col("component").alias("cluster"), "n_blocks", "node", "grams"))
+        belongs = s.table(clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "n_blocks"))
+        few = belongs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        sets = s.table(members(texts, size, wanted).join(F.broadcast(belongs) if few else belongs, "node").select("cluster", "n_blocks", "node", "grams"))
 
         def dealt(salt: int) -> DataFrame:
             block = F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col("n_blocks")).cast("int")
@@ -281,7 +323,7 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
             again = s.table(searched(dealt(2).where("n_blocks > 1").withColumns(both | {"part": F.col("node")}), ["cluster", "block"], num, den))
             parts = s.table(components(links.union(again), s))
             placed = dealt(1).where("n_blocks > 1").join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-            counted = placed.groupBy("cluster", "part").agg(F.count("*").alias("in_part"))
+            counted = placed.groupBy("cluster", "part").agg(F.countDistinct("node").alias("in_part"))
             largest = counted.groupBy("cluster").agg(F.max(F.struct("in_part", "part")).alias("top"), F.sum("in_part").alias("all")).select("cluster", F.col("top.part").alias("largest"), F.ceil((F.col("all") - F.col("top.in_part")) / block_nodes).cast("int").alias("n_queries"))
             placed = placed.join(largest, "cluster").where("n_queries > 0")
             hosts = placed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1))).select("cluster", "block", "batch", F.lit(True).alias("host"), F.lit(False).alias("query"), "part", "node", "grams")
