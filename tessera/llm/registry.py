@@ -12,6 +12,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.lm_scoring import score_texts
 from tessera.llm.mixing import mix_sources, temperature_weights
 from tessera.llm.ngram_join import ngram_components
+from tessera.llm.substring_dedup import repeated_passages
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import filter_urls, host, path
@@ -30,6 +31,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def _hashed(*parts: Column) -> Column:
     """The first 32 bits of the parts' MD5 as a number."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
@@ -84,6 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None =
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,

@@ -158,3 +158,19 @@ def score_with(docs: DataFrame, model: FactorizationMachine, columns: list[Colum
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
     return frame.mapInArrow(run, f"{out}, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int | None = FOLDS, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, folds, max_rows))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fm = shared.value
+        used = (fm.w != 0) | fm.v.any(axis=1)
+        for b in batches:
+            scores = [fm.score(starts, bins) for _, starts, bins in term_bins(b.column(place), fm.bins, used)]
+            if scores:
+                yield b.filter(pa.array(np.concatenate(scores) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
