@@ -38,7 +38,8 @@ from tessera.llm.words import Slice, distinct_shingles, mix, slices
 
 SKETCH_BITS = 20
 BLOCK_NODES = 384
-PAIRED = 64
+PAIRED = 256
+PROBED_AT_ONCE = 64
 MAX_BROADCAST = 500_000
 
 
@@ -204,9 +205,10 @@ class InvertedIndex:
         self.starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         self.tokens = tokens[self.starts]
         self.ends = np.append(self.starts[1:], len(tokens))
+        self.places = np.repeat(np.arange(len(self.starts)), self.ends - self.starts) * len(sets) + self.owner  # ascending
 
-    def search(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Hosts that link with the query."""
+    def search(self, query: np.ndarray, num: int, den: int, below: int | None = None) -> np.ndarray:
+        """Hosts, of the first ``below`` ones, that link with the query."""
         n = len(query)
         at = np.searchsorted(self.tokens, query)
         at[at == len(self.tokens)] = 0
@@ -218,19 +220,32 @@ class InvertedIndex:
         at = at[np.argsort(lengths, kind="stable")]
         short = len(at) - (threshold - 1)
         candidates, counts = self._merge([self.owner[self.starts[i] : self.ends[i]].tolist() for i in at[:short]])
-        fits = (den * self.sizes[candidates] >= num * n) & (den * n >= num * self.sizes[candidates])
+        sizes = self.sizes[candidates]
+        fits = (den * sizes >= num * n) & (den * n >= num * sizes)
+        if below is not None:
+            fits &= candidates < below
         candidates, counts = candidates[fits], counts[fits]
         needed = -(-num * (n + self.sizes[candidates]) // (num + den))
-        for left, i in zip(range(len(at) - short, 0, -1), at[short:]):
-            able = counts + left >= needed
+        long = at[short:]
+        lo = 0
+        while lo < len(long):
+            able = counts + len(long) - lo >= needed
             if not able.all():
                 candidates, counts, needed = candidates[able], counts[able], needed[able]
             if not len(candidates):
                 break
-            posting = self.owner[self.starts[i] : self.ends[i]]
-            place = np.searchsorted(posting, candidates)
-            place[place == len(posting)] = 0
-            counts += posting[place] == candidates
+            if len(candidates) > PROBED_AT_ONCE:
+                posting = self.owner[self.starts[long[lo]] : self.ends[long[lo]]]
+                place = np.searchsorted(posting, candidates)
+                place[place == len(posting)] = 0
+                counts += posting[place] == candidates
+                lo += 1
+            else:
+                wanted = long[lo : lo + 256, None] * len(self.sizes) + candidates
+                place = np.searchsorted(self.places, wanted)
+                place[place == len(self.places)] = 0
+                counts += (self.places[place] == wanted).sum(axis=0)
+                lo += 256
         return candidates[counts >= needed]
 
     @staticmethod
@@ -255,46 +270,49 @@ class InvertedIndex:
 
 
 def searched(dealt: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links (a, b) within each group of rows (keys, host, query, part, node, grams) that join different parts.
+    """Edges (a, b) from parts to the smallest part that links within a group of rows (keys, host, query, part, node, grams) join them with.
 
     Rows with ``host`` are indexed and those with ``query`` searched; a group is held in one task at a time.
     """
 
-    def links(group: list[tuple[bool, bool, bytes, bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
-        hosts = [x for x in group if x[0]]
-        if not hosts or len(group) < 2:
-            return
-        index = InvertedIndex([x[4] for x in hosts])
+    def links(group: list[tuple[bool, bool, bytes, bytes, np.ndarray]]) -> tuple[list[bytes], list[bytes]]:
         parts = UnionFind()
-        for _, query, part, node, grams in group:
-            if query:
-                for i in index.search(grams, num, den).tolist():
-                    if parts.union(part, hosts[i][2]):
-                        yield node, hosts[i][3]
+        hosts = [x for x in group if x[0]]
+        if hosts and len(group) > 1:
+            index = InvertedIndex([x[4] for x in hosts])
+            own = 0
+            for host, query, part, _, grams in group:
+                if query:
+                    for i in index.search(grams, num, den, own if host else None).tolist():
+                        parts.union(part, hosts[i][2])
+                own += host
+        return parts.edges()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
         now = None
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
+            a: list[bytes] = []
+            b: list[bytes] = []
             columns = [batch.column(i).to_pylist() for i in range(len(keys))]
             host, query, part, node = (batch.column(len(keys) + i).to_pylist() for i in range(4))
             grams = batch.column(len(keys) + 4)
             for i, key in enumerate(zip(*columns)):
                 if key != now:
-                    found += links(group)
+                    for out, x in zip((a, b), links(group)):
+                        out += x
                     now, group = key, []
-                if group and group[-1][1:4] == (query[i], part[i], node[i]) and group[-1][0] == host[i]:
+                if group and group[-1][0] == host[i] and group[-1][3] == node[i]:
                     continue  # the same set from another task
                 group.append((host[i], query[i], part[i], node[i], np.frombuffer(grams[i].as_py(), np.uint64)))
-            yield edge_batch(found)
-        yield edge_batch(list(links(group)))
+            yield edge_batch(a, b)
+        yield edge_batch(*links(group))
 
     return dealt.select(*keys, "host", "query", "part", "node", "grams").repartition(*keys).sortWithinPartitions(*keys, "host", "node").mapInArrow(run, "a binary, b binary")
 
 
-def edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([binaries([a for a, _ in edges]), binaries([b for _, b in edges])], ["a", "b"])
+def edge_batch(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([binaries(a), binaries(b)], ["a", "b"])
 
 
 def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
@@ -316,13 +334,14 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
             block = F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col("n_blocks")).cast("int")
             return sets.select("cluster", "n_blocks", block.alias("block"), "node", "grams")
 
-        both = {"host": F.lit(True), "query": F.lit(True)}
-        links = s.table(searched(dealt(1).withColumns(both | {"part": F.col("node")}), ["cluster", "block"], num, den))
-        large = sets.where("n_blocks > 1")
+        both = {"host": F.lit(True), "query": F.lit(True), "part": F.col("node")}
+        of_one_block = s.table(searched(dealt(1).where("n_blocks = 1").withColumns(both), ["cluster", "block"], num, den))
+        parts = of_one_block.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        large = dealt(1).where("n_blocks > 1")
         if not large.isEmpty():
-            again = s.table(searched(dealt(2).where("n_blocks > 1").withColumns(both | {"part": F.col("node")}), ["cluster", "block"], num, den))
-            parts = s.table(components(links.union(again), s))
-            placed = dealt(1).where("n_blocks > 1").join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+            twice = [s.table(searched(dealt(salt).where("n_blocks > 1").withColumns(both), ["cluster", "block"], num, den)) for salt in (1, 2)]
+            found = s.table(components(twice[0].union(twice[1]), s))
+            placed = large.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
             counted = placed.groupBy("cluster", "part").agg(F.countDistinct("node").alias("in_part"))
             largest = counted.groupBy("cluster").agg(F.max(F.struct("in_part", "part")).alias("top"), F.sum("in_part").alias("all")).select("cluster", F.col("top.part").alias("largest"), F.ceil((F.col("all") - F.col("top.in_part")) / block_nodes).cast("int").alias("n_queries"))
             placed = placed.join(largest, "cluster").where("n_queries > 0")
@@ -330,8 +349,7 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
             asked = placed.where("part <> largest").withColumn("batch", F.pmod(F.xxhash64(F.col("node"), F.lit(3)), F.col("n_queries")).cast("int"))
             asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cluster", "block", "batch", F.lit(False).alias("host"), F.lit(True).alias("query"), "part", "node", "grams")
             rest = s.table(searched(hosts.unionByName(asked), ["cluster", "block", "batch"], num, den))
-            links = links.union(again).union(rest)
-        parts = s.table(components(links, s))
+            parts = parts.union(s.table(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(rest), s)))
         named = rows.where("n > 0").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
         names = named.groupBy("part").agg(F.min("id").alias("component_id"))
         whole = named.join(names, "part").select("id", "n", "component_id", "node").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "node"))
