@@ -1,4 +1,4 @@
-"""Makes the package importable by Python workers, wherever the session was started from."""
+"""Prepares a session: the package is importable by its Python workers, and Arrow batches are of moderate size."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files, once for each Spark application."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own default; whole texts make such batches large
+        spark.conf.set(BATCH_ROWS, "2000")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).parent
