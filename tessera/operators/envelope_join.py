@@ -51,12 +51,12 @@ def _cell(value: Column, level: Column, cell: float) -> Column:
 
 def _listed(side: DataFrame, prefix: str, levels: list[int], cell: float) -> DataFrame:
     """Rows with their level, once for each cell at each occurring level from their own up."""
-    own = side.withColumn(f"{prefix}level", _level(prefix, cell))
-    at = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col(f"{prefix}level"))
-    rows = own.withColumn("level", F.explode(at))
+    own = side.withColumn(f"__{prefix}level", _level(prefix, cell))
+    at = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col(f"__{prefix}level"))
+    rows = own.withColumn("__level", F.explode(at))
     for axis in "xy":
-        low, high = (_cell(F.col(f"{prefix}{axis}{end}"), F.col("level"), cell) for end in ("min", "max"))
-        rows = rows.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
+        low, high = (_cell(F.col(f"{prefix}{axis}{end}"), F.col("__level"), cell) for end in ("min", "max"))
+        rows = rows.withColumn(f"__c{axis}", F.explode(F.sequence(low, high)))
     return rows
 
 
@@ -76,8 +76,8 @@ def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid"
         levels = sorted(r.x for r in found)
     if not levels:
         return a.join(b, F.lit(False))
-    met = _listed(a, "left_", levels, size).join(_listed(b, "right_", levels, size), ["level", "cx", "cy"]).where(envelopes_meet())
-    once = F.col("level") == F.greatest("left_level", "right_level")
+    met = _listed(a, "left_", levels, size).join(_listed(b, "right_", levels, size), ["__level", "__cx", "__cy"]).where(envelopes_meet())
+    once = F.col("__level") == F.greatest("__left_level", "__right_level")
     for axis in "xy":
-        once &= F.col(f"c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("level"), size)
-    return met.where(once).drop("level", "cx", "cy", "left_level", "right_level")
+        once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), size)
+    return met.where(once).drop("__level", "__cx", "__cy", "__left_level", "__right_level")
