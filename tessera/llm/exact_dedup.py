@@ -121,7 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             listed = made.withColumn("told_apart", F.lit(""))
         else:  # a list holding an identifier of several contents counts only together with the text's digest
             doubtful = s.table(doubtful, keep=True).withColumn("hit", F.lit(True))
-            listed = made.join(doubtful, "tag", "left").withColumn("told_apart", F.when("hit", F.col("text_sha256")).otherwise("")).drop("hit")
+            listed = made.join(doubtful, "tag", "left").withColumn("told_apart", F.when(F.col("hit"), F.col("text_sha256")).otherwise("")).drop("hit")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
     groups = listed.groupBy("recipe", "told_apart").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
     return listed.join(groups, ["recipe", "told_apart"]).select(
