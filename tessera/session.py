@@ -10,13 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files, once for each Spark application."""
-    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own default; whole texts make such batches large
+    # Whole texts make batches of Spark's own default sizes large; what a user has set stays.
+    if BATCH_ROWS not in spark.conf.getAll:
         spark.conf.set(BATCH_ROWS, "2000")
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, "8388608")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).parent
