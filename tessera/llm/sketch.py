@@ -46,22 +46,18 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of 2 MB over the first 8 bytes of a binary column. With more keys it lets more others pass, never fewer."""
+    """A Bloom filter of 2 MB over a column of longs. With more keys it lets more others pass, never fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(BLOOM_BYTES * 8, bool)
         for b in batches:
-            marks[_bits(first_longs(b.column(0).to_pylist())).ravel()] = True
+            marks[_bits(b.column(0).to_numpy().view(np.uint64)).ravel()] = True
         numbers, content = blocks(np.packbits(marks))
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["block", "content"])
 
     return combined(keys.select(F.col(column)).mapInArrow(run, "block int, content binary"), BLOOM_BYTES, "uint8", "or")
 
 
-def first_longs(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
-
-
 def may_hold(filter_bytes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = _bits(keys)
     return ((filter_bytes[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
