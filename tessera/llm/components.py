@@ -41,21 +41,22 @@ class UnionFind:
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Edges with the same components, at most one for each node that a task meets. Columns a, b of type binary."""
+    """Edges with the same components, at most one for each node that a task meets. Columns a, b are longs or binaries."""
+    kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = UnionFind()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sets.union(a, b)
-        yield star_batch(sets)
+        yield star_batch(sets, binary=kind == "binary")
 
-    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def star_batch(sets: UnionFind) -> pa.RecordBatch:
-    a, b = sets.edges()
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def star_batch(sets: UnionFind, binary: bool) -> pa.RecordBatch:
+    kind = pa.binary() if binary else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x in sets.edges()], ["a", "b"])
 
 
 def components(edges: DataFrame, s: Scratch) -> DataFrame:

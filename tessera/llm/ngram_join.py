@@ -8,14 +8,17 @@ one node. The search is exact:
    are built on the cluster. In a list of up to ``PAIRED`` nodes those pairs are joined whose sizes and places of the shared n-gram
    allow the overlap needed; in a longer one neighbours by set size are chained, but for gaps that no link can
    span. Components of what is joined are clusters outside of which there is no link.
-2. A cluster is dealt into blocks of about ``BLOCK_NODES`` nodes. Within a block every node is searched by T-occurrence: the
-   shortest inverted lists are merged by a heap, the T - 1 longest are probed by binary search (DivideSkip), and nodes
+2. A cluster is dealt into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_BYTES`` of n-grams at most. Within a block every node is searched by
+   T-occurrence: the shortest inverted lists are merged by a heap, the T - 1 longest are probed by binary search (DivideSkip), or, where many
+   candidates are left, by position in those lists' bit rows; nodes
    that reach the overlap needed are links; of the links found a task sends those that join two parts. A cluster of one block is then
    done. Others are dealt and searched once more, anew, after which most of a group of near copies is one part; what
    isn't in a cluster's largest part is searched against all its blocks, so no pair of different parts is left out.
 
 So a group of near copies is searched in bounded blocks, its links are never listed pair by pair, and its whole is never in one task.
 
+Up to the clusters a node goes by 8 bytes of its name: nodes taken for one there only share a cluster, which adds comparisons.
+
 Defined results: words are split at ASCII white space and only A-Z are lower-cased; a document with fewer than ``size`` words has its whole
 sequence as its one n-gram; a null or empty text, or one without words, has an empty set and links with nothing. Ids of null are larger than
 any; a component of such rows only has a null name. Rows that repeat are each reported. Other columns aren't read.
@@ -34,10 +37,10 @@ from pyspark.sql import functions as F
 from tessera.llm.components import UnionFind, components, star_batch
 from tessera.llm.scratch import Scratch
 from tessera.llm.sketch import blocks, bloom, combined, may_hold
-from tessera.llm.words import Slice, distinct_shingles, mix, slices
+from tessera.llm.words import Slice, distinct_shingles, frugal, mix, slices
 
 SKETCH_BITS = 20
-BLOCK_NODES = 384
+BLOCK_NODES, BLOCK_BYTES = 2048, 48 << 20
 PAIRED = 256
 PROBED_AT_ONCE = 64
 MAX_BROADCAST = 500_000
@@ -73,6 +76,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
     bins = 1 << SKETCH_BITS
     kind = docs.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(bins, np.uint32)
         seen: set[bytes] = set()
@@ -95,9 +99,10 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(token, n, place, node): the n-grams of each node's prefix. A task sends a set once."""
+    """(token, n, place, node), nodes by 8 bytes: the n-grams of each node's prefix. A task sends a set once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 << SKETCH_BITS bytes
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         counts = shared.value
@@ -105,7 +110,8 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray)
             for s in slices(batch.column(1)):
                 doc, h = distinct_shingles(s, size)
                 n = np.bincount(doc, minlength=s.n_docs)
-                new, names = fresh(node_keys(s, doc, h), n, seen)
+                keys = node_keys(s, doc, h)
+                new, _ = fresh(keys, n, seen)
                 keep = new[doc]
                 doc, h = doc[keep], h[keep]
                 frequency = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
@@ -115,9 +121,9 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray)
                 place = np.arange(len(doc)) - first[doc]
                 within = place < (n - -(-num * n // den) + 1)[doc]
                 doc, h, place = doc[within], h[within], place[within]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32)), binaries(names).take(pa.array(doc))], ["token", "n", "place", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(keys[doc, 0].view(np.int64))], ["token", "n", "place", "node"])
 
-    return docs.mapInArrow(run, "token long, n int, place int, node binary")
+    return docs.mapInArrow(run, "token long, n int, place int, node long")
 
 
 def joined(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -140,6 +146,7 @@ def joined(lists: DataFrame, num: int, den: int) -> DataFrame:
             at = at[at >= step]
             at = at[token[at] == token[at - step]]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = UnionFind()
         rest: tuple | None = None  # rows of the last list, which may go on
@@ -161,24 +168,25 @@ def joined(lists: DataFrame, num: int, den: int) -> DataFrame:
             long = np.repeat(is_long, lengths)[:end]
             for a, b in pairs(token[:end], n[:end], place[:end], long):
                 if node[a] != node[b]:
-                    sets.union(node[a], node[b])
+                    sets.union(int(node[a]), int(node[b]))
             return (None if keep is None else (token[keep], n[keep], place[keep], node[keep])), bool(is_long[-1])
 
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), np.array(batch.column(3).to_pylist() + [None], object)[:-1])
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy())
             columns = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
             rest, rest_long = work(columns, rest_long, last=False)
         if rest is not None:
             work(rest, rest_long, last=True)
-        yield star_batch(sets)
+        yield star_batch(sets, binary=False)
 
-    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a binary, b binary")
+    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long")
 
 
 def members(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """(node, grams) of the nodes that a Bloom filter lets pass: sorted 64-bit hashes. Tasks that meet a set each send it."""
+    """(short, node, grams) of the nodes, ``short`` being the 8 bytes, that a Bloom filter lets pass: sorted 64-bit hashes. Tasks that meet a set each send it."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # BLOOM_BYTES
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -188,9 +196,9 @@ def members(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
                 keys = node_keys(s, doc, h)
                 new, names = fresh(keys, np.diff(starts), seen)
                 at = np.flatnonzero(new & may_hold(shared.value, keys[:, 0]))
-                yield pa.RecordBatch.from_arrays([binaries([names[i] for i in at]), pa.array([h[starts[i] : starts[i + 1]].tobytes() for i in at], pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0].view(np.int64)), binaries([names[i] for i in at]), pa.array([h[starts[i] : starts[i + 1]].tobytes() for i in at], pa.binary())], ["short", "node", "grams"])
 
-    return docs.mapInArrow(run, "node binary, grams binary")
+    return docs.mapInArrow(run, "short long, node binary, grams binary")
 
 
 class InvertedIndex:
@@ -199,12 +207,14 @@ class InvertedIndex:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in sets])
         tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, self.owner = tokens[order], owner[order]
+        del order, owner
         self.starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         self.tokens = tokens[self.starts]
         self.ends = np.append(self.starts[1:], len(tokens))
+        self.rows: np.ndarray | None = None  # bit rows of lists that hold many hosts, made when first needed
         self.places = np.repeat(np.arange(len(self.starts)), self.ends - self.starts) * len(sets) + self.owner  # ascending
 
     def search(self, query: np.ndarray, num: int, den: int, below: int | None = None) -> np.ndarray:
@@ -234,12 +244,9 @@ class InvertedIndex:
                 candidates, counts, needed = candidates[able], counts[able], needed[able]
             if not len(candidates):
                 break
-            if len(candidates) > PROBED_AT_ONCE:
-                posting = self.owner[self.starts[long[lo]] : self.ends[long[lo]]]
-                place = np.searchsorted(posting, candidates)
-                place[place == len(posting)] = 0
-                counts += posting[place] == candidates
-                lo += 1
+            if len(candidates) > PROBED_AT_ONCE and (many := self._row_of()[long[lo:]]).max() >= 0:
+                counts += self.rows[many[many >= 0]].sum(axis=0, dtype=np.int32)[candidates]
+                long, lo = long[lo:][many < 0], 0
             else:
                 wanted = long[lo : lo + 256, None] * len(self.sizes) + candidates
                 place = np.searchsorted(self.places, wanted)
@@ -248,6 +255,18 @@ class InvertedIndex:
                 lo += 256
         return candidates[counts >= needed]
 
+    def _row_of(self) -> np.ndarray:
+        """Each list's bit row, -1 where it has none; lists of at least an eighth of the hosts have one."""
+        if self.rows is None:
+            lengths = self.ends - self.starts
+            many = np.flatnonzero(lengths * 8 >= len(self.sizes))
+            self.row_of = np.full(len(lengths), -1)
+            self.row_of[many] = np.arange(len(many))
+            self.rows = np.zeros((len(many), len(self.sizes)), np.uint8)
+            row = np.repeat(self.row_of, lengths)
+            self.rows[row[row >= 0], self.owner[row >= 0]] = 1
+        return self.row_of
+
     @staticmethod
     def _merge(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Hosts on the lists and on how many of them, by a heap of the lists' next hosts."""
@@ -288,6 +307,7 @@ def searched(dealt: DataFrame, keys: list[str], num: int, den: int) -> DataFrame
                 own += host
         return parts.edges()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
         now = None
@@ -324,11 +344,12 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
         sketch = combined(made.where("block is not null").select("block", "content"), 1 << SKETCH_BITS, "uint32", "sum")
         rows = made.where("block is null").select("id", "n", "node")
         clusters = s.table(components(joined(prefixes(texts, size, num, den, sketch), num, den), s))
-        sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("n_blocks"))
-        wanted = bloom(clusters, "node")
-        belongs = s.table(clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "n_blocks"))
-        few = belongs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-        sets = s.table(members(texts, size, wanted).join(F.broadcast(belongs) if few else belongs, "node").select("cluster", "n_blocks", "node", "grams"))
+        few = clusters.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        belongs = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
+        found_sets = s.table(members(texts, size, bloom(clusters, "node")).join(F.broadcast(belongs) if few else belongs, "short").drop("short"))
+        blocks_of = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("int")
+        dealing = s.table(found_sets.groupBy("cluster").agg(blocks_of.alias("n_blocks")))
+        sets = found_sets.join(F.broadcast(dealing) if few else dealing, "cluster")
 
         def dealt(salt: int) -> DataFrame:
             block = F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col("n_blocks")).cast("int")
@@ -341,15 +362,17 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
         if not large.isEmpty():
             twice = [s.table(searched(dealt(salt).where("n_blocks > 1").withColumns(both), ["cluster", "block"], num, den)) for salt in (1, 2)]
             found = s.table(components(twice[0].union(twice[1]), s))
-            placed = large.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-            counted = placed.groupBy("cluster", "part").agg(F.countDistinct("node").alias("in_part"))
+            found = s.table(found.withColumnRenamed("component", "part"))
+            little = lambda df: F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+            placed = large.join(little(found), "node", "left").withColumn("part", F.coalesce("part", "node"))
+            counted = placed.select("cluster", "part", "node").distinct().groupBy("cluster", "part").agg(F.count("*").alias("in_part"))
             largest = counted.groupBy("cluster").agg(F.max(F.struct("in_part", "part")).alias("top"), F.sum("in_part").alias("all")).select("cluster", F.col("top.part").alias("largest"), F.ceil((F.col("all") - F.col("top.in_part")) / block_nodes).cast("int").alias("n_queries"))
-            placed = placed.join(largest, "cluster").where("n_queries > 0")
+            placed = placed.join(little(s.table(largest)), "cluster").where("n_queries > 0")
             hosts = placed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1))).select("cluster", "block", "batch", F.lit(True).alias("host"), F.lit(False).alias("query"), "part", "node", "grams")
             asked = placed.where("part <> largest").withColumn("batch", F.pmod(F.xxhash64(F.col("node"), F.lit(3)), F.col("n_queries")).cast("int"))
             asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cluster", "block", "batch", F.lit(False).alias("host"), F.lit(True).alias("query"), "part", "node", "grams")
             rest = s.table(searched(hosts.unionByName(asked), ["cluster", "block", "batch"], num, den))
-            parts = parts.union(s.table(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(rest), s)))
+            parts = parts.union(s.table(components(found.select(F.col("node").alias("a"), F.col("part").alias("b")).where("a <> b").union(rest), s)))
         named = rows.where("n > 0").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
         names = named.groupBy("part").agg(F.min("id").alias("component_id"))
         whole = named.join(names, "part").select("id", "n", "component_id", "node").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "node"))

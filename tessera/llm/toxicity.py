@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import mix, slices
 
-BINS, FACTORS, MAX_ROWS, FOLDS = 1 << 18, 4, 24_000, 5
+BINS, FACTORS, MAX_ROWS, FOLDS = 1 << 18, 4, 16_000, 5
 PREFIXES = (4, 5)
 
 

@@ -8,14 +8,16 @@ follows ``SLICE_BYTES`` and the longest single document, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,3 +141,17 @@ def distinct_shingles(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(docs), bool)
     keep[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
     return docs[keep], hashes[keep]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, but memory that the task has freed goes back to the system: workers live on between tasks, beside the executor's heap."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
