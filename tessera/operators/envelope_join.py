@@ -4,11 +4,12 @@
 levels, each 4 times as wide as the one below: a geometry lies at the lowest level whose cells aren't narrower than its envelope, so
 it covers at most 4 of them, however large it is. It is listed at its own and at higher levels that occur, and a pair meets at the
 higher of its two levels, in the one cell that holds the lower left corner of what the envelopes share, so no pair is met twice.
-``partitioned`` joins on equal ``pid`` and keeps what replication doubles. ``nested`` compares all pairs: for small layers and for tests.
+``partitioned`` is the same within equal ``pid``, and so keeps what replication doubles. ``nested`` compares all pairs: for small layers and for tests.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +32,18 @@ def envelopes_meet(a: str = "left_", b: str = "right_") -> Column:
     return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
 
 
-def cell_size(left: DataFrame, right: DataFrame) -> float:
-    """Twice the mean width of both layers' envelopes."""
+def grid_shape(left: DataFrame, right: DataFrame) -> tuple[float, list[float]]:
+    """Twice the mean width of both layers' envelopes, and bounds of the widths that occur, in powers of STEP; in one pass."""
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    both = left.select(width.alias("w")).unionAll(right.select(width.alias("w"))).where("w is not null and not isnan(w) and w < double('infinity')")
-    mean = both.agg(F.avg("w")).first()[0]
-    return 2.0 * mean if mean else 1.0
+    both = left.select(width.alias("w")).unionAll(right.select(width.alias("w"))).where("w >= 0 and w < double('infinity')")
+    power = F.when(F.col("w") > 0, F.ceil(F.log("w") / F.log(F.lit(float(STEP))))).otherwise(0)
+    found = both.groupBy(power.alias("power")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most")).collect()  # a row for each power of STEP
+    mean = sum(r.w for r in found) / max(1, sum(r.n for r in found))
+    return 2.0 * mean or 1.0, [x for r in found for x in (r.least, r.most)]
+
+
+def level_of(width: float, cell: float) -> int:
+    return min(MAX_LEVEL, max(0, math.ceil(math.log(max(width / cell, 1.0)) / math.log(STEP) - 1e-9)))
 
 
 def _level(prefix: str, cell: float) -> Column:
@@ -68,16 +75,19 @@ def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid"
     a, b = _side(left, "left_"), _side(right, "right_")
     if strategy == "nested":
         return a.join(b, envelopes_meet())
+    within = []
     if strategy == "partitioned":
-        return a.join(b, (F.col("left_pid") == F.col("right_pid")) & envelopes_meet())
-    size = cell or cell_size(left, right)
-    if levels is None:
-        found = a.select(_level("left_", size).alias("x")).union(b.select(_level("right_", size).alias("x"))).distinct().collect()  # at most MAX_LEVEL + 1 rows
-        levels = sorted(r.x for r in found)
+        a, b = a.withColumn("__pid", F.col("left_pid")), b.withColumn("__pid", F.col("right_pid"))
+        within = ["__pid"]
+    if cell is None or levels is None:
+        found_cell, widths = grid_shape(left, right)
+        cell = cell or found_cell
+        if levels is None:  # those between the least and the most of each power of STEP, which are next to each other
+            levels = sorted({x for low, high in zip(widths[::2], widths[1::2]) for x in range(level_of(low, cell), level_of(high, cell) + 1)})
     if not levels:
-        return a.join(b, F.lit(False))
-    met = _listed(a, "left_", levels, size).join(_listed(b, "right_", levels, size), ["__level", "__cx", "__cy"]).where(envelopes_meet())
+        return a.join(b, F.lit(False)).drop("__pid")
+    met = _listed(a, "left_", levels, cell).join(_listed(b, "right_", levels, cell), [*within, "__level", "__cx", "__cy"]).where(envelopes_meet())
     once = F.col("__level") == F.greatest("__left_level", "__right_level")
     for axis in "xy":
-        once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), size)
-    return met.where(once).drop("__level", "__cx", "__cy", "__left_level", "__right_level")
+        once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), cell)
+    return met.where(once).drop(*within, "__level", "__cx", "__cy", "__left_level", "__right_level")
