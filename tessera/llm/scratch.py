@@ -7,6 +7,7 @@ running, and a table that is read twice is computed once.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _delete_kept() -> None:
     for path, spark in _kept.items():
-        if spark._sc._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may have gone before us
             _delete(spark, path)
 
 
@@ -60,10 +61,6 @@ class Scratch:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df_paths: list[str] | None = None) -> None:
-        for path in self.paths if df_paths is None else df_paths:
-            _delete(self.spark, path)
-        self.paths = [] if df_paths is None else [p for p in self.paths if p not in df_paths]
-
     def __exit__(self, *exc) -> None:
-        self.drop()
+        for path in self.paths:
+            _delete(self.spark, path)
