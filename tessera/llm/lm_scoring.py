@@ -243,18 +243,19 @@ class Scorer:
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, bucket and count of all words over a count threshold, the lowest that at most ``most`` words pass."""
-    histogram = counts.groupBy(F.least(F.col("n"), F.lit(_HISTOGRAM)).alias("n")).agg(F.count("*").alias("words")).collect()  # at most _HISTOGRAM rows
-    passed, threshold = 0, _HISTOGRAM + 1
-    for n, words in sorted(histogram, reverse=True):
+    """Hash, bucket and count of all words over a count threshold, the lowest that at most ``most`` words pass.
+
+    Thresholds are all counts up to _HISTOGRAM, and 64 to each doubling beyond.
+    """
+    step = F.when(F.col("n") <= _HISTOGRAM, F.col("n")).otherwise(_HISTOGRAM + 1 + F.floor(64 * F.log2(F.col("n") / _HISTOGRAM)))
+    histogram = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # at most _HISTOGRAM + 64 * 51 rows
+    passed, threshold = 0, None
+    for at, words in sorted(histogram, reverse=True):
         passed += words
         if passed > most:
             break
-        threshold = n
-    if threshold > _HISTOGRAM:  # more than ``most`` words are that frequent: the top of them
-        rows = counts.orderBy(F.desc("n"), "hash").limit(most).toArrow()
-    else:
-        rows = counts.where(F.col("n") >= threshold).toArrow()
+        threshold = at
+    rows = counts.where(step >= threshold if threshold is not None else F.lit(False)).toArrow()
     h = rows.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], rows.column("bucket").to_numpy()[order], rows.column("n").to_numpy()[order]
