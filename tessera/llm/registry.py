@@ -157,4 +157,16 @@ ORACLES: dict[str, str] = {
         best AS (SELECT *, shared / every AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / every DESC, s) AS nth FROM sim WHERE shared * 100 >= every * 80)
         SELECT doc_id, item_id, similarity, CAST(s AS INT) AS first_word, CAST(n_words AS INT) AS n_words FROM best WHERE nth = 1
     """,
+    "op7_ngram_join": r"""
+        WITH RECURSIVE t AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS p FROM t WHERE len(w) > 0),
+        sets AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS gram FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes i ON i.doc_id = a JOIN sizes j ON j.doc_id = b WHERE 100 * k >= 90 * (i.n + j.n - k)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+    """,
 }
