@@ -72,7 +72,7 @@ def binaries(keys: list[bytes]) -> pa.Array:
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, node) of every row; and, where id is null and block isn't, the blocks of each task's sketch."""
+    """(id, n, node, short) of every row, ``short`` being 8 bytes of node; and, where id is null and block isn't, the blocks of each task's sketch."""
     bins = 1 << SKETCH_BITS
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -86,16 +86,17 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             for s in slices(batch.column(1)):
                 doc, h = distinct_shingles(s, size)
                 n = np.bincount(doc, minlength=s.n_docs)
-                new, names = fresh(node_keys(s, doc, h), n, seen)
+                keys = node_keys(s, doc, h)
+                new, names = fresh(keys, n, seen)
                 counts += np.bincount((h[new[doc]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=bins).astype(np.uint32)
                 ids = batch.column(0).slice(s.first, s.n_docs)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), binaries(names), pa.nulls(s.n_docs, pa.int32()), pa.nulls(s.n_docs, pa.binary())], ["id", "n", "node", "block", "content"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), binaries(names), pa.array(keys[:, 0].view(np.int64)), pa.nulls(s.n_docs, pa.int32()), pa.nulls(s.n_docs, pa.binary())], ["id", "n", "node", "short", "block", "content"])
         if id_type is not None:
             numbers, content = blocks(counts)
             none = len(numbers)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["id", "n", "node", "block", "content"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["id", "n", "node", "short", "block", "content"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, node binary, block int, content binary")
+    return docs.mapInArrow(run, f"id {kind}, n long, node binary, short long, block int, content binary")
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -346,21 +347,25 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
         clusters = s.table(components(joined(prefixes(texts, size, num, den, sketch), num, den), s))
         few = clusters.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
         belongs = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
-        found_sets = s.table(members(texts, size, bloom(clusters, "node")).join(F.broadcast(belongs) if few else belongs, "short").drop("short"))
-        blocks_of = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("int")
-        dealing = s.table(found_sets.groupBy("cluster").agg(blocks_of.alias("n_blocks")))
-        sets = found_sets.join(F.broadcast(dealing) if few else dealing, "cluster")
+        blocks_of = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+        sized = made.where("n > 0").select("short", "node", "n").distinct().join(belongs, "short").groupBy("cluster").agg(blocks_of.alias("n_blocks"))
+        dealing = s.table(belongs.join(sized, "cluster"))
+
+        def sets_of(which: DataFrame) -> DataFrame:
+            return members(texts, size, bloom(which, "short")).join(F.broadcast(which) if few else which, "short").drop("short")
 
-        def dealt(salt: int) -> DataFrame:
+        def dealt(sets: DataFrame, salt: int) -> DataFrame:
             block = F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col("n_blocks")).cast("int")
             return sets.select("cluster", "n_blocks", block.alias("block"), "node", "grams")
 
         both = {"host": F.lit(True), "query": F.lit(True), "part": F.col("node")}
-        of_one_block = s.table(searched(dealt(1).where("n_blocks = 1").withColumns(both), ["cluster", "block"], num, den))
+        of_one_block = s.table(searched(dealt(sets_of(dealing.where("n_blocks = 1")), 1).withColumns(both), ["cluster", "block"], num, den))
         parts = of_one_block.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        large = dealt(1).where("n_blocks > 1")
-        if not large.isEmpty():
-            twice = [s.table(searched(dealt(salt).where("n_blocks > 1").withColumns(both), ["cluster", "block"], num, den)) for salt in (1, 2)]
+        in_blocks = dealing.where("n_blocks > 1")
+        if not in_blocks.isEmpty():
+            sets = s.table(sets_of(in_blocks))
+            large = dealt(sets, 1)
+            twice = [s.table(searched(dealt(sets, salt).withColumns(both), ["cluster", "block"], num, den)) for salt in (1, 2)]
             found = s.table(components(twice[0].union(twice[1]), s))
             found = s.table(found.withColumnRenamed("component", "part"))
             little = lambda df: F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
