@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.components import UnionFind, components, star_batch
 from tessera.llm.scratch import Scratch
@@ -386,7 +387,27 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; rows of one id share a fate, and a component without any id stays."""
+    """The rows of ``docs`` but those whose component has a smaller id.
+
+    Verdicts are joined back by id and set, so rows of one id, or without any, are told apart; a component without any id stays.
+    """
     found = ngram_components(docs, size, num, den, id_col, text_col)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("node").alias("__node")).distinct()
+    mine = with_sets(docs, size, text_col)
+    same = (mine["__set"] == gone["__node"]) & mine[f"`{id_col}`"].eqNullSafe(gone["__gone"])
+    return mine.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """The rows with the name of their set, ``__set``."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for s in slices(texts):
+                doc, h = distinct_shingles(s, size)
+                names = binaries([k.tobytes() for k in node_keys(s, doc, h)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(s.first, s.n_docs).columns, names], [*batch.schema.names, "__set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))

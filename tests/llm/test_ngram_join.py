@@ -77,3 +77,13 @@ def test_keep_one(frame):
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 7, 8, 500]
     assert x.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_apart(frame):
+    text = lambda i: " ".join(f"w{k}" for k in range(i, i + 40))
+    rows = [(1, text(1)), (None, text(2)), (None, text(500)), (None, text(900)), (3, text(2000)), (4, text(2001)), (4, text(3000)), (None, None)]
+    df = frame(rows)
+    got = x.keep_one(df)
+    assert got.schema == df.schema
+    want = [(1, text(1)), (None, text(500)), (None, text(900)), (3, text(2000)), (4, text(3000)), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
