@@ -88,8 +88,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Id and a hash of the text, by which rows are looked at."""
+    return F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("no id")), F.lit(":"), F.xxhash64(F.col(f"`{text_col}`")).cast("string"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words, distance, n_windows): for each text and item the best window, the first of equals."""
+    return contaminated_rows(docs, benchmark, size, num, den, id_col, text_col, item_col, item_text_col).drop("key")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(key, doc_id, item_id, similarity, first_word, n_words, distance, n_windows): as ``contaminated``, and the row's ``row_key``."""
     spark = docs.sparkSession
     with Scratch(spark) as s:
         item = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), words(F.col(f"`{item_text_col}`")).alias("item_words")).where("size(item_words) > 0").distinct()
@@ -98,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int
         shapes = items.groupBy("width").agg(F.min("m").alias("fewest")).collect()  # at most ``size`` rows
         grams = items.select("item", "length", "width", "m", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.xxhash64(F.slice("item_words", i, F.col("width")))))).alias("h"))
         grams = s.table(grams)
-        text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("words"), F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("no id")), F.lit(":"), F.xxhash64(F.col(f"`{text_col}`")).cast("string")).alias("key"))
+        text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`")).alias("words"), row_key(id_col, text_col).alias("key"))
         text = text.withColumn("n", F.size("words"))
         few = grams.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
         hits = None
@@ -136,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int
         passed = measured.withColumn("all", union).where(F.col("shared") * den >= F.col("all") * num).withColumn("similarity", F.col("shared") / F.col("all"))
         best = F.max(F.struct("similarity", (-F.col("first_word")).alias("early"), "n_words", "distance")).alias("best")
         out = s.table(passed.groupBy("key", "doc_id", "item", "item_id").agg(best, F.count("*").alias("n_windows")), keep=True)
-    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.early")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"), "n_windows")
+    return out.select("key", "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.early")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"), "n_windows")
 
 
 def sampled_hits(text: DataFrame, grams: DataFrame, width: int, step: int, few: bool) -> DataFrame:
@@ -153,7 +163,14 @@ def sampled_hits(text: DataFrame, grams: DataFrame, width: int, step: int, few:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a contaminated window; rows of one id share a fate, rows without id are told by their text."""
+    """The rows of ``docs`` without a contaminated window; rows of one id share a fate, rows without id stay."""
     found = contaminated(docs, benchmark, size, num, den, id_col, text_col)
     ids = found.where("doc_id is not null").select(F.col("doc_id").alias("__hit")).distinct()
     return docs.join(ids, docs[id_col] == F.col("__hit"), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a contaminated window, told by id and text: with or without an id each by its own text."""
+    hits = contaminated_rows(docs, benchmark, size, num, den, id_col, text_col).select(F.col("key").alias("__hit")).distinct()
+    mine = docs.withColumn("__key", row_key(id_col, text_col))
+    return mine.join(hits, mine["__key"] == hits["__hit"], "left_anti").drop("__key")

@@ -80,3 +80,15 @@ def test_no_python_in_the_plan(frame, spark, data, capsys):
     x.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string")).explain("formatted")
     plan = capsys.readouterr().out
     assert not [k for k in ("EvalPython", "InPandas", "InArrow", "PythonUDF") if k in plan]
+
+
+def test_clean_rows_goes_by_row(frame, spark, data):
+    rows, items = data
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = frame([*rows, (None, "nothing of note"), (None, None)])
+    left = x.clean_rows(df, benchmark)
+    assert left.schema == df.schema
+    hit = {(i, t) for i, t in rows if brute([(i, t)], items)}
+    assert (None, items[4][1]) in hit
+    want = [r for r in [*rows, (None, "nothing of note"), (None, None)] if r not in hit]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, want))

@@ -78,3 +78,11 @@ def test_nulls(spark, folder, tmp_path):
         docs = stage(spark, docs, at)
         docs.write.parquet(path := f"{tmp_path}/n-{name}")
         docs = spark.read.schema(docs.schema).parquet(path)
+
+
+def test_leaks_go_by_row(spark, folder):
+    at, _ = folder
+    item = spark.read.parquet(f"{at}/benchmark.parquet").where("item_id = 0").first().text
+    rows = [(None, item, "en", "s", 1), (None, "some text here", "en", "s", 2), (1, item, "en", "s", 3), (1, "some other text", "en", "s", 4)]
+    left = pipeline.drop_leaks(spark, spark.createDataFrame(rows, SCHEMA), at)
+    assert sorted(r.n_chars for r in left.collect()) == [2, 4]
