@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from tessera.llm.scratch import Scratch
+from tessera.scratch import Owner, Scratch
 from tessera.session import ship
 
 
@@ -48,8 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's result is written and read again, and deleted once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Owner()
     for name, stage in STAGES[:-1]:
-        docs = Scratch(spark).table(stage(spark, docs, sf_dir), keep=True)
+        with Owner() as inside:
+            found = stage(spark, docs, sf_dir)
+        with Owner() as handed_on:
+            docs = Scratch(spark).table(found, keep=True)
+        inside.close()
+        before.close()
+        before = handed_on
     return STAGES[-1][1](spark, docs, sf_dir)

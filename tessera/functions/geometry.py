@@ -7,6 +7,7 @@ the session, so that executors fetch it, and registers the functions for SQL. A
 from __future__ import annotations
 
 import hashlib
+import os
 import shutil
 import subprocess
 import tempfile
@@ -14,14 +15,18 @@ import zipfile
 from pathlib import Path
 
 import pyspark
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SOURCE = Path(__file__).parent / "java" / "Functions.java"
 
+#: What a line holds: its geometries by number, with their type and envelope.
+PARTS = "array<struct<part:int,geom:binary,geom_type:string,xmin:double,ymin:double,xmax:double,ymax:double>>"
+
 #: SQL name, class, type of the result
-FUNCTIONS: list[tuple[str, str, T.DataType]] = [
+FUNCTIONS: list[tuple[str, str, T.DataType | str]] = [
     ("st_geomfromtext", "FromText", T.BinaryType()),
     ("st_geomfromwkbhex", "FromHex", T.BinaryType()),
     ("st_astext", "AsText", T.StringType()),
@@ -36,6 +41,8 @@ FUNCTIONS: list[tuple[str, str, T.DataType]] = [
     ("st_union", "Union", T.BinaryType()),
     ("st_intersection_npoints", "IntersectionPoints", T.IntegerType()),
     ("st_union_npoints", "UnionPoints", T.IntegerType()),
+    ("st_layerfromtext", "LayerFromText", PARTS),
+    ("st_layerfromwkbhex", "LayerFromHex", PARTS),
 ]
 
 _registered: set[int] = set()
@@ -49,14 +56,35 @@ def _javac(spark: SparkSession) -> str:
     return found
 
 
+def _class_path(spark: SparkSession) -> str:
+    """Where the running JVM has its classes; this Python's PySpark may lie in an archive apart from them."""
+    jvm = spark._jvm
+    places = [jvm.java.lang.System.getProperty("java.class.path")]
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    for name in ("org.locationtech.jts.geom.Geometry", "org.apache.spark.sql.api.java.UDF1", "org.apache.spark.sql.Row"):
+        try:
+            source = loader.loadClass(name).getProtectionDomain().getCodeSource()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"geometry functions need {name} on Spark's class path") from e
+        if source is not None:
+            places.append(jvm.java.nio.file.Paths.get(source.getLocation().toURI()).toString())
+    return os.pathsep.join(dict.fromkeys(places))
+
+
+def _compile(spark: SparkSession, work: str) -> None:
+    asked = [_javac(spark), "-nowarn", "-d", work, "-cp", _class_path(spark), str(SOURCE)]
+    done = subprocess.run(asked, capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise RuntimeError(f"javac failed on {SOURCE}:\n{done.stderr}")
+
+
 def _jar(spark: SparkSession) -> Path:
     source = SOURCE.read_text()
     version = hashlib.sha256((source + pyspark.__version__).encode()).hexdigest()[:16]
     target = Path(tempfile.gettempdir()) / f"tessera-geometry-{version}.jar"
     if not target.exists():
         with tempfile.TemporaryDirectory() as work:
-            jars = Path(pyspark.__path__[0]) / "jars"
-            subprocess.run([_javac(spark), "-nowarn", "-d", work, "-cp", f"{jars}/*", str(SOURCE)], check=True, capture_output=True)
+            _compile(spark, work)
             made = Path(work) / "made.jar"
             with zipfile.ZipFile(made, "w") as z:
                 for path in sorted(Path(work).rglob("*.class")):

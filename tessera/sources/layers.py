@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
+from tessera.scratch import Scratch
 
 # What must equal the behaviour to be matched.
 SHORTEST = 5
@@ -21,17 +22,22 @@ AUTO_LINES = 200
 Validate = Literal["always", "never", "auto"]
 
 
+READERS = {"st_geomfromtext": "st_layerfromtext", "st_geomfromwkbhex": "st_layerfromwkbhex"}
+COLUMNS = ("part", "geom", "geom_type", "xmin", "ymin", "xmax", "ymax")
+
+
 def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Adds geom_type and the envelope's four columns."""
+    """Adds geom_type and the envelope's four columns to a table of geometries."""
     bounds = df.withColumn("__bounds", call("st_envelope", geom)).withColumn("geom_type", call("st_geometrytype", geom))
     return bounds.select("*", *[F.col("__bounds")[i].alias(c) for i, c in enumerate(("xmin", "ymin", "xmax", "ymax"))]).drop("__bounds")
 
 
 def parse_lines(lines: DataFrame, value: str = "value", parser: str = "st_geomfromtext", validate: Validate = "always") -> DataFrame:
-    """A layer of the geometries in a text column; other columns are kept.
+    """A layer of the geometries in a text column; other columns are kept, but for those named as the layer's own.
 
     ``validate``: drop lines whose whole geometry is invalid, always, never, or only where there are ``AUTO_LINES`` lines or more.
-    ``part`` numbers the geometries of a line from 0. An ``id`` is added unless the lines have one.
+    ``part`` numbers the geometries of a line from 0. An ``id`` is added unless the lines have one. A line is parsed once: one
+    function gives its geometries with their types and envelopes.
     """
     register(lines.sparkSession)
     kept = lines.where(F.octet_length(F.col(value)) > SHORTEST)
@@ -39,11 +45,13 @@ def parse_lines(lines: DataFrame, value: str = "value", parser: str = "st_geomfr
         validate = "always" if kept.limit(AUTO_LINES).count() >= AUTO_LINES else "never"
     if "id" not in lines.columns:
         kept = kept.withColumn("id", F.monotonically_increasing_id())
-    whole = kept.withColumn("__whole", call(parser, value)).where("__whole is not null")
-    if validate == "always":
-        whole = whole.where(call("st_isvalid", "__whole"))
-    parts = whole.select("*", F.posexplode(call("st_dump", "__whole")).alias("part", "geom")).drop("__whole", value)
-    return with_envelope(parts)
+    others = [F.col(f"`{c}`") for c in kept.columns if c != value and c not in COLUMNS]
+    return kept.select(*others, F.inline(call(READERS[parser], value, F.lit(validate == "always"))))
+
+
+def stored(layer: DataFrame) -> DataFrame:
+    """The layer, written to the shared folder and read again: whatever reads it afterwards parses nothing."""
+    return Scratch(layer.sparkSession).table(layer, keep=True)
 
 
 def read_wkt(spark: SparkSession, path: str, validate: Validate = "always") -> DataFrame:
@@ -57,9 +65,14 @@ def read_wkb_hex(spark: SparkSession, path: str, validate: Validate = "never") -
 
 
 def read_partitioned(spark: SparkSession, path: str, parser: str = "st_geomfromtext", validate: Validate = "always") -> DataFrame:
-    """A layer of files whose names end in their partition number, which becomes ``pid``."""
-    lines = spark.read.text(path).withColumn("pid", F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("int"))
-    return parse_lines(lines.where("pid is not null"), parser=parser, validate=validate)
+    """A layer of files whose names end in their partition number, before any extensions; it becomes ``pid``.
+
+    A file without a number fails the read: leaving it out would lose its geometries.
+    """
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    number = F.regexp_extract(name, r"(\d+)(?:\.[A-Za-z]\w*)*$", 1)
+    pid = F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no partition number in the name of "), name)).cast("int"))
+    return parse_lines(spark.read.text(path).withColumn("pid", pid), parser=parser, validate=validate)
 
 
 def _numbers(value: Column) -> Column:
