@@ -264,7 +264,7 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the other folds."""
     spark = docs.sparkSession
-    every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (fold(f"`{id_col}`", folds) == held_fold).alias("held_out"))
+    every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (fold(id_col, folds) == held_fold).alias("held_out"))
     training = every.where("not held_out").select("text")
     s = Scratch(spark)
     counts = s.table(word_counts(training), keep=True)

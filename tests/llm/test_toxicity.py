@@ -59,3 +59,25 @@ def test_empty(frame, spark):
     assert [(r.score, r.predicted) for r in x.toxicity(frame([(1, "a")]), none).collect()] == [(1 / (1 + np.exp(35)), 0)]
     assert x.toxicity(frame([(1, "a")]).limit(0), none).count() == 0
     assert [n for n, _, _ in x.term_bins(pa.array(["a", None]))] == [2]
+
+
+def test_pairs_without_single_effects():
+    """Toxic where two terms are equal; each alone, and each noise term, tells nothing."""
+    rng = np.random.default_rng(1)
+    told = rng.integers(0, 2, (7000, 2))
+    y = (told[:, 0] == told[:, 1]).astype(float)
+    rows = [np.unique([1 + a, 3 + b, *(10 + rng.choice(2000, 25))]) for a, b in told]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    bins = np.concatenate(rows)
+    cut = starts[6000]
+    fm = x.FactorizationMachine(1 << 12).fit(starts[:6001], bins[:cut], y[:6000])
+    assert np.mean((fm.score(starts[6000:] - cut, bins[cut:]) >= 0.5) == y[6000:]) > 0.95
+
+
+def test_names_and_repeated_ids(frame, spark):
+    rows, labels = corpus(200)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = frame([*rows, *rows[:50], (3, "long " * 50_000)]).selectExpr("*", "1 AS y", "2 AS `__id`", "3 AS place", "4 AS toxic", "5 AS score")
+    assert x.toxicity(docs, table, max_rows=40).count() == 251
+    assert x.without_toxic(docs, table, max_rows=40).columns == docs.columns
+    assert x.toxicity(docs.limit(0), table).count() == 0
