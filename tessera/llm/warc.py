@@ -4,8 +4,11 @@ Each response gives two records that name it in WARC-Refers-To: a metadata recor
 its digests, language and title) and a conversion record (the text of its HTML). Records are serialised as WARC/1.1,
 one gzip member each, so concatenated members are a valid file; ``read_records`` reads them back exactly.
 
+A derived record has the digest of its own block; the source's digests are in the metadata record and in the column ``source_payload_digest``.
+
 Defined results: a null url, date or body is empty; ids are name-based UUIDs of type, url, date and payload digest, so
-rows that repeat get equal records. Empty tables give none. Columns of the input that aren't named aren't read.
+rows that repeat get equal records, which come with each row. A page is read whole, however long, in time that grows with its length. Empty tables give none. Columns of
+the input that aren't named aren't read.
 """
 
 from __future__ import annotations
@@ -22,20 +25,107 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"""<(/?[a-zA-Z][a-zA-Z0-9]*|[!?/])(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\Z)""")
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)|[!?/])")
+_STOP = re.compile("[>\"']")
+_LANG = re.compile(r"(?:^|[\s/\"'])lang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+#: Elements whose content is no part of the text.
+_DROPPED = frozenset("script style noscript template svg title".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_META_BYTES = 1024  # as far as a page's own charset is looked for, as HTML has it
+
+RECORD = "id_of_source long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, source_payload_digest string, block_digest string, source_headers string, record binary"
+
+
+class _Finder:
+    """``find`` that looks only once for what isn't there, so that a scan is linear."""
+
+    def __init__(self, text: str):
+        self.text, self.lower = text, None
+        self.absent: set[str] = set()
+
+    def after(self, what: str, at: int) -> int:
+        """The place behind the next ``what``, or -1."""
+        if what in self.absent:
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+            return -1
+        return found + len(what)
+
+    def closing(self, name: str, at: int) -> int:
+        """The place of the next ``</name``, in any case, or -1."""
+        what = "</" + name
+        if what in self.absent:
+            return -1
+        if self.lower is None:  # only A-Z, so that places stay
+            self.lower = self.text.translate(_LOWER)
+        found = self.lower.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
 
-RECORD = "id_of_source long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, payload_digest string, block_digest string, source_headers string, record binary"
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def _tag_end(page: str, at: int, find: _Finder) -> int:
+    """Behind the tag whose name ends at ``at``; quoted values may hold ``>``, a quote that isn't closed is no quote."""
+    while (m := _STOP.search(page, at)) is not None:
+        at = m.end()
+        if m[0] == ">":
+            return at
+        closed = find.after(m[0], at)
+        at = closed if closed > 0 else at
+    return len(page)
+
+
+def scan(page: str) -> tuple[str, str | None, str | None]:
+    """(visible text, title, language) in one pass over the page, in time that grows with its length.
+
+    Blocks are on lines of their own, entities resolved, white space collapsed. A tag, comment or dropped element that isn't closed goes to the end.
+    """
+    find = _Finder(page)
+    out: list[str] = []
+    title = lang = None
+    at, n = 0, len(page)
+    while at < n and (m := _OPEN.search(page, at)) is not None:
+        out.append(page[at : m.start()])
+        if m[1]:
+            end = find.after("-->", m.end())
+            at = end if end > 0 else n
+            out.append(" ")
+            continue
+        name = (m[3] or "").translate(_LOWER)
+        at = _tag_end(page, m.end(), find)
+        if name == "html" and not m[2] and lang is None and (found := _LANG.search(page[m.end() : at])):
+            lang = found[1]
+        if name in _DROPPED and not m[2]:
+            close = find.closing(name, at)
+            if name == "title" and title is None:
+                title = " ".join(entities.unescape(page[at : close if close >= 0 else n]).split())
+            at = n if close < 0 else _tag_end(page, close + 2 + len(name), find)
+            out.append(" ")
+        elif name in _BLOCK:
+            out.append("\n")
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in entities.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x), title, lang
 
 
 def plain_text(page: str) -> str:
-    """Visible text: blocks on lines of their own, entities resolved, white space collapsed."""
-    page = _TAG.sub(lambda m: "\n" if m[1].lstrip("/").lower() in _BLOCK else "", _DROP.sub(" ", page))
-    lines = (" ".join(x.split()) for x in entities.unescape(page).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return scan(page)[0]
+
+
+def decoded(headers: str, payload: bytes) -> str:
+    """The payload by the charset of its HTTP headers, else by that of its first bytes, else as UTF-8; what can't be read is replaced."""
+    kind = next((x for x in headers.split("\r\n") if x.lower().startswith("content-type:")), "")
+    found = _CHARSET.search(kind.encode("utf-8", "replace")) or _CHARSET.search(payload[:_META_BYTES])
+    try:
+        return payload.decode(found[1].decode("ascii") if found else "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):  # no charset that is known, or none of text
+        return payload.decode("utf-8", "replace")
 
 
 def digest(data: bytes) -> str:
@@ -87,17 +177,15 @@ def derive(uri: str, date: str, block: bytes) -> Iterator[tuple]:
     headers, payload = split_http(block)
     payload_digest = digest(payload)
     source = record_id("response", uri, date, payload_digest)
-    page = payload.decode("utf-8", "replace")
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    text, title, lang = scan(decoded(headers, payload))
     about = [("source-payload-digest", payload_digest), ("source-block-digest", digest(block)), ("source-length", str(len(block)))]
-    about += [("language", lang[1])] if lang else []
-    about += [("title", " ".join(entities.unescape(title[1]).split()))] if title else []
+    about += [("language", lang)] if lang else []
+    about += [("title", title)] if title is not None else []
     about += [("http-" + k.lower(), v) for k, _, v in (x.partition(": ") for x in headers.split("\r\n")[1:])]
     about_block = "".join(f"{k}: {one_line(v)}\r\n" for k, v in about).encode("utf-8", "replace")
-    text = plain_text(page).encode("utf-8", "replace")
-    for kind, content_type, body in (("metadata", "application/warc-fields", about_block), ("conversion", "text/plain; charset=utf-8", text)):
+    for kind, content_type, body in (("metadata", "application/warc-fields", about_block), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         own, block_digest = record_id(kind, uri, date, payload_digest), digest(body)
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", payload_digest), ("WARC-Block-Digest", block_digest), ("Content-Type", content_type)]
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", block_digest), ("Content-Type", content_type)]
         yield kind, own, source, uri, date, content_type, len(body), payload_digest, block_digest, headers, serialise(fields, body)
 
 
