@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from tessera.llm import url_filter as x
 
@@ -68,3 +69,27 @@ def test_no_python_in_the_plan(spark, capsys):
     x.filter_urls(*frames(spark)).explain("formatted")
     plan = capsys.readouterr().out
     assert not [x for x in ("EvalPython", "InPandas", "InArrow", "PythonUDF") if x in plan]
+
+
+def test_against_brute_force(spark):
+    rnd = random.Random(2)
+    keys = ["com", "a.com", "b.a.com", "c.org", "c.org/x", "c.org/x/y"]
+    entries = [(rnd.choice(["l", "m", None]), rnd.choice(keys), rnd.choice(["add", "remove"]), at(rnd.randrange(400))) for _ in range(2000)]
+    entries.append(("late", "c.org", "add", dt.datetime(2150, 1, 1)))
+    captures = [(i, rnd.choice(["http://a.com/", "http://b.a.com/q", "http://c.org/x/y/z", "http://c.org/x", "http://d.com"]), at(rnd.randrange(-5, 420) + rnd.choice([0, 0.5]))) for i in range(300)]
+    captures += [(900, "http://c.org/", dt.datetime(9000, 1, 1)), (901, "http://c.org/x?" + "q" * 100_000, at(500)), (902, None, at(1)), (902, None, at(1))]
+    cover = {"http://a.com/": {"com", "a.com"}, "http://b.a.com/q": {"com", "a.com", "b.a.com"}, "http://c.org/x/y/z": {"c.org", "c.org/x", "c.org/x/y"}, "http://c.org/x": {"c.org", "c.org/x"}, "http://d.com": {"com"}, "http://c.org/": {"c.org"}}
+    want = set()
+    for i, u, t in captures:
+        here = cover.get(u, {"c.org", "c.org/x"} if u else set())
+        on = []
+        for l, k in {(e[0], e[1]) for e in entries}:
+            past = [(d, a == "remove") for ll, kk, a, d in entries if (ll, kk) == (l, k) and d <= t]
+            if k in here and past and not max(past)[1]:
+                on.append(f"{l or ''}:{k}")
+        want.add((i, len(on), min(on, default=None)))
+    df = spark.createDataFrame(captures, "id long, url string, fetched timestamp").selectExpr("*", "1 AS `__url`", "2 AS `__n`", "3 AS since", "4 AS asked_url", "5 AS blocked")
+    table = spark.createDataFrame(entries, "list string, key string, action string, dated timestamp")
+    assert x.histories(table).where("size(history) > 1 and until is not null").count() > 0
+    got = x.filter_urls(df, table).collect()
+    assert len(got) == len(captures) and {(r.id, r.n_matches, r.matched) for r in got} == want
