@@ -9,7 +9,7 @@ compared as ordered lists of identifiers: their texts don't move again.
 
 Defined results: a null text is an empty text (an empty recipe). A null id is larger than
 any id. Rows that repeat both id and text are told apart by a row tag, so exactly one row of a
-group stays. Empty tables give empty results. Other columns, whatever their names, are not read.
+group stays. Texts are read whole, however long. Empty tables give empty results. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.scratch import Scratch
+from tessera.llm.broadcasts import light
+from tessera.llm.names import unused
 from tessera.llm.words import mix
+from tessera.scratch import Scratch
 
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 2048, 12, 65536
+HOT_ROWS = 100_000
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
@@ -82,7 +85,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tags, pa.int64()), pa.array(sha, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "tag", "text_sha256", "recipe"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, tag long, text_sha256 string, recipe array<long>")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, tag long, text_sha256 string, recipe array<long>")
 
 
 def chunk_store(docs: DataFrame, text_col: str = "text", bits: int = 64) -> DataFrame:
@@ -101,7 +104,7 @@ def chunk_store(docs: DataFrame, text_col: str = "text", bits: int = 64) -> Data
                     seen, held = set(), 0
             yield _contents(seen, bits)
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fingerprint long, content binary")
+    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "fingerprint long, content binary")
     return found.groupBy("fingerprint", "content").agg(F.count("*").alias("n_tasks")).drop("n_tasks")
 
 
@@ -109,7 +112,7 @@ def _contents(seen: set[bytes], bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([fingerprint(c, bits) for c in seen], pa.int64()), pa.array(list(seen), pa.binary())], ["fingerprint", "content"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, tag."""
     spark = docs.sparkSession
     with Scratch(spark) as s:
@@ -122,9 +125,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:  # a list holding an identifier of several contents counts only together with the text's digest
             doubtful = s.table(doubtful, keep=True).withColumn("hit", F.lit(True))
             listed = made.join(doubtful, "tag", "left").withColumn("told_apart", F.when(F.col("hit"), F.col("text_sha256")).otherwise("")).drop("hit")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
-    groups = listed.groupBy("recipe", "told_apart").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
-    return listed.join(groups, ["recipe", "told_apart"]).select(
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+        groups = listed.groupBy("recipe", "told_apart").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+        several = s.table(groups.where("group_size > 1"), keep=True)
+    # Groups are counted by partial sums. Verdicts of the hot ones, of which there are few, go to the rows; other groups have under ``hot_rows`` rows in a task.
+    key = ["recipe", "told_apart"]
+    hot = light(several.where(F.col("group_size") >= hot_rows))
+    rest = listed.join(hot, key, "left_anti")
+    salted = several.where(F.col("group_size") < hot_rows)
+    found = listed.join(hot, key).select("doc_id", "first", "group_size", "text_sha256", "recipe", "tag")
+    alone = rest.join(salted, key, "left").select("doc_id", F.coalesce("first", first).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256", "recipe", "tag")
+    return found.union(alone).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("tag") == F.col("first.tag")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"), "tag"
     )
 
@@ -132,13 +143,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Verdicts are joined back by id and digest. Of rows that repeat id and text one stays,
-    the first by a hash of its columns.
+    Verdicts are joined back by id and digest: the rows of which none stays, and those of which one of several does, are few, so that Spark may broadcast their
+    keys and leave the texts where they are. Of rows that repeat id and text the one that stays is the first by a hash of its columns.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("no id"))
-    spaced = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    verdict = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    mine = docs.select("*", key.alias("__id"), F.sha2(spaced.cast("binary"), 256).alias("__sha"))
-    stay = mine.join(verdict, ["__id", "__sha"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return stay.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    spark = docs.sparkSession
+    id_, sha, nth = unused(docs.columns, "__id", "__sha", "__nth")
+    spaced = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    keyed = docs.withColumns({id_: F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("no id")), sha: F.sha2(spaced.cast("binary"), 256)})
+    verdict = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")).alias(id_), F.col("text_sha256").alias(sha))
+    counted = Scratch(spark).table(verdict.agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")), keep=True)
+    gone = counted.where("stay = 0").select(id_, sha)
+    twice = counted.where("stay > 0 and rows > 1").select(id_, sha)
+    once = keyed.join(gone.union(twice), [id_, sha], "left_anti")
+    order = F.row_number().over(Window.partitionBy(id_, sha).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    first = keyed.join(twice, [id_, sha], "left_semi").withColumn(nth, order).where(F.col(nth) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).union(first.select(*columns))

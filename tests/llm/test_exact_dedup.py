@@ -24,8 +24,8 @@ def test_chunks_are_whole_and_found_again():
 
 
 def test_dedup(frame):
-    for bits in (64, 1):  # one-bit fingerprints collide: identifiers must be verified
-        got = x.exact_dedup(frame(ROWS), bits=bits).collect()
+    for bits, hot in ((64, x.HOT_ROWS), (1, x.HOT_ROWS), (64, 3)):  # one-bit fingerprints collide: identifiers must be verified
+        got = x.exact_dedup(frame(ROWS), bits=bits, hot_rows=hot).collect()
         assert sorted(map(repr, ((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got))) == expected(ROWS)
         kept = [r for r in got if r.kept]
         assert len(kept) == len({r.text_sha256 for r in got})
@@ -33,7 +33,7 @@ def test_dedup(frame):
 
 
 def test_keep_first(frame):
-    df = frame(ROWS)
+    df = frame(ROWS).selectExpr("*", "1 AS `__id`", "2 AS `__SHA`", "3 AS `__nth`", "4 AS recipe")
     got = x.keep_first(df)
     assert got.columns == df.columns
     assert sorted(x.normalised(r.text) for r in got.collect()) == sorted({x.normalised(t) for _, t in ROWS})
