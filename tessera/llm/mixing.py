@@ -7,7 +7,7 @@ into one global order by a hash of seed, id and copy.
 
 Defined results: rows of a null source are a source of their own. A null id hashes as the empty
 text; rows repeating an id get the same number of copies each. A source without weight, or with one
-of 0 or less, gets no copies. An empty table gives an empty result. The operator's columns replace
+of 0 or less, gets no copies. Texts aren't looked at, however long. An empty table gives an empty result. The operator's columns replace
 columns of ``docs`` of the same names.
 """
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.broadcasts import MAX_BYTES, light
+from tessera.llm.names import unused
 from tessera.scratch import Scratch
 
-MAX_BROADCAST_SOURCES = 20_000
-
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of the parts' MD5."""
@@ -41,7 +41,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 def temperature_weights(docs: DataFrame, source_col: str = "source", alpha: float = 0.5) -> DataFrame:
     """(source, weight): weights in proportion to the number of rows to the power ``alpha``."""
-    sized = docs.groupBy(F.col(source_col).alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(alpha)).alias("part"))
+    sized = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(alpha)).alias("part"))
     return sized.join(F.broadcast(sized.agg(F.sum("part").alias("whole"))), F.lit(True)).select("source", (F.col("part") / F.col("whole")).alias("weight"))  # one row
 
 
@@ -51,19 +51,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame, target_rows: int | None = N
     ``weights`` holds (source, weight); ``target_rows`` is the expected size of the result, by
     default that of ``docs``.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("__n"))
-    whole = F.lit(target_rows) if target_rows is not None else F.col("__all")
+    source, n, every, w_source, w, cdf, copies = unused(docs.columns, "__source", "__n", "__all", "__w_source", "__w", "__cdf", "__copies")
+    sizes = docs.groupBy(F.col(f"`{source_col}`").alias(source)).agg(F.count("*").alias(n))
+    whole = F.lit(target_rows) if target_rows is not None else F.col(every)
     rated = (
-        sizes.join(F.broadcast(sizes.agg(F.sum("__n").alias("__all"))), F.lit(True))  # one row
-        .join(weights.groupBy(F.col("source").alias("__w_source")).agg(F.max("weight").cast("double").alias("__w")), F.col("__source").eqNullSafe(F.col("__w_source")))
-        .where("__w > 0")
-        .select("__source", poisson_cdf(F.col("__w") * whole / F.col("__n")).alias("__cdf"))
+        sizes.join(F.broadcast(sizes.agg(F.sum(n).alias(every))), F.lit(True))  # one row
+        .join(weights.groupBy(F.col("source").alias(w_source)).agg(F.max("weight").cast("double").alias(w)), F.col(source).eqNullSafe(F.col(w_source)))
+        .where(F.col(w) > 0)
+        .select(source, poisson_cdf(F.col(w) * whole / F.col(n)).alias(cdf))
     )
-    with_cdf = Scratch(docs.sparkSession).table(rated, keep=True)
-    few = with_cdf.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES  # else a shuffled join, split by Spark where a source is hot
+    with_cdf = light(Scratch(docs.sparkSession).table(rated, keep=True), MAX_BYTES)  # else a shuffled join, split by Spark where a source is hot
     own_id = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    drawn = docs.join(F.broadcast(with_cdf) if few else with_cdf, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    copies = F.size(F.filter("__cdf", lambda p: p <= uniform(F.lit(str(seed)), own_id)))
-    kept = drawn.withColumn("__copies", copies).where("__copies > 0").drop("__cdf", "__source")
-    out = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    drawn = docs.join(with_cdf, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
+    number = F.size(F.filter(cdf, lambda p: p <= uniform(F.lit(str(seed)), own_id)))
+    kept = drawn.withColumn(copies, number).where(F.col(copies) > 0).drop(cdf, source)
+    out = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
     return out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), own_id, F.col("copy").cast("string")).cast("binary"))).orderBy("shuffle_key")

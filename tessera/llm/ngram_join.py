@@ -21,7 +21,8 @@ Up to the clusters a node goes by 8 bytes of its name: nodes taken for one there
 
 Defined results: words are split at ASCII white space and only A-Z are lower-cased; a document with fewer than ``size`` words has its whole
 sequence as its one n-gram; a null or empty text, or one without words, has an empty set and links with nothing. Ids of null are larger than
-any; a component of such rows only has a null name. Rows that repeat are each reported. Other columns aren't read.
+any; a component of such rows only has a null name. Rows that repeat are each reported. Texts are read whole, however long; an
+empty table gives none. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.components import UnionFind, components, star_batch
-from tessera.scratch import Scratch
+from tessera.llm.names import unused
 from tessera.llm.sketch import blocks, bloom, combined, may_hold
 from tessera.llm.words import Slice, distinct_shingles, frugal, mix, slices
+from tessera.scratch import Scratch
 
 SKETCH_BITS = 20
 BLOCK_NODES, BLOCK_BYTES = 2048, 48 << 20
@@ -391,15 +393,16 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_c
 
     Verdicts are joined back by id and set, so rows of one id, or without any, are told apart; a component without any id stays.
     """
+    gone_id, gone_set, own_set = unused(docs.columns, "__gone", "__node", "__set")
     found = ngram_components(docs, size, num, den, id_col, text_col)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("node").alias("__node")).distinct()
-    mine = with_sets(docs, size, text_col)
-    same = (mine["__set"] == gone["__node"]) & mine[f"`{id_col}`"].eqNullSafe(gone["__gone"])
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_set)).distinct()
+    mine = with_sets(docs, size, text_col, own_set)
+    same = (mine[own_set] == gone[gone_set]) & mine[f"`{id_col}`"].eqNullSafe(gone[gone_id])
     return mine.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def with_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """The rows with the name of their set, ``__set``."""
+def with_sets(docs: DataFrame, size: int, text_col: str, name: str = "__set") -> DataFrame:
+    """The rows with the name of their set, in the column ``name``."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,6 +411,6 @@ def with_sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
             for s in slices(texts):
                 doc, h = distinct_shingles(s, size)
                 names = binaries([k.tobytes() for k in node_keys(s, doc, h)])
-                yield pa.RecordBatch.from_arrays([*batch.slice(s.first, s.n_docs).columns, names], [*batch.schema.names, "__set"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(s.first, s.n_docs).columns, names], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))

@@ -40,7 +40,7 @@ def test_copies(frame, spark):
 def test_join_beyond_the_broadcast_bound(frame, spark, monkeypatch):
     df = frame(ROWS, SCHEMA)
     first = x.mix_sources(df, x.temperature_weights(df)).select("doc_id", "copy").collect()
-    monkeypatch.setattr(x, "MAX_BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(x, "MAX_BYTES", 1)
     again = x.mix_sources(df.repartition(7), x.temperature_weights(df)).select("doc_id", "copy").collect()
     assert sorted(map(repr, first)) == sorted(map(repr, again))
 
