@@ -2,44 +2,48 @@
 
 Classes: an end mark, the ``WORDS`` most frequent training words, and buckets of all other words by their
 last two bytes; a rarer word's probability is its bucket's times its add-one share in it, so every text has a
-proper probability. For each of the two preceding positions a log-bilinear predictor scores class w after
-context class u by a_u . b_w + bias_w; the model is their mixture with the unigram distribution.
+proper probability. One log-bilinear predictor: the vectors of the two preceding classes u1 and u2, each transformed by its position's
+diagonal matrix, add up to a context h = c1 * r(u1) + c2 * r(u2), and class w after it has the score h . q(w) + bias(w), normalised over all classes.
 
-Everything is gathered from all training rows: word counts (a distributed table, never collected), and
-class-pair counts, which are summed per context and are of fixed size, CLASSES x CLASSES for each position.
-The noise-contrastive objective depends on the corpus only through these pair counts, so it is climbed in
-numpy over the whole table at once, with the noise samples' share in expectation. A batched product of all context
-and class vectors then gives every context's exact normaliser, and tokens are scored by batched products.
+Training is in numpy, by mini-batches with ``NOISE`` noise classes each, drawn from the unigram distribution and shared by the batch, so that scores and
+gradients are products of matrices. It starts on the driver, on the texts of at most ``WARM_ROWS`` training rows (those of smallest hash). From
+there every task goes through all its training rows once, and the models of the tasks are averaged by their numbers of tokens. Word counts are gathered from all training rows too
+(a distributed table, never collected). The model's size is fixed by ``WORDS``, ``CLASSES`` and ``DIMENSIONS``; larger ones cost CLASSES ** 2 normalisers.
+
+The exact normaliser of every context, a pair of classes, is found once by batched products of all context and class vectors, dealt over the cluster: a table
+of CLASSES x CLASSES numbers, which travels to every task with the model. Tokens are then scored by batched products.
 
 Counts of up to ``FREQUENT`` words, those above a count threshold, travel to every task (16 bytes each); the other
 words of a text meet the count table in a shuffled join. Words are identified by 64-bit hashes.
 
 Defined results: a null text is empty and scores its end mark. A null id counts as the empty text in the fold rule. Without
-training rows all counts are 0 and classes are equally likely. Rows are told apart by a tag, so repeated rows
-each get their own. Other columns aren't read.
+training rows all counts are 0 and classes have the probabilities of an untrained model. Rows are told apart by a tag, so repeated rows
+each get their own. Texts are read whole, however long. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.scratch import Scratch
+from tessera.llm.sketch import BLOCK, blocks, combined
 from tessera.llm.toxicity import fold
 from tessera.llm.words import Slice, mix, slices
+from tessera.scratch import Scratch
 
 END, START, FIRST_WORD = 0, 1, 2
 WORDS, CLASSES = 1022, 2048
 BUCKETS = CLASSES - FIRST_WORD - WORDS
 FREQUENT = 1 << 19
-DIMENSIONS, NOISE, STEPS, RATE = 24, 16, 120, 0.08
-MIXTURE = (0.5, 0.38, 0.12)  # previous word, the one before, unigram
+DIMENSIONS, NOISE, BATCH, RATE = 24, 64, 1024, 0.15
+WARM_ROWS, WARM_EPOCHS = 2000, 4
 _HISTOGRAM = 1 << 12
 
 
@@ -80,75 +84,76 @@ def with_ends(s: Slice, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return token, one, two, doc
 
 
-def nce_fit(pairs: np.ndarray, noise: np.ndarray, seed: int = 3, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context vectors, class vectors and log normalisers from pair counts (context x class).
-
-    Maximises sum C log s(d) + k n_u q_w log s(-d), d = a_u . b_w + bias_w - log(k q_w), by Adam; ``noise`` is q.
-    """
-    rng = np.random.default_rng(seed)
-    size = pairs.shape[0]
-    n = pairs.sum(axis=1, dtype=np.float64)
-    per = (1 / np.sqrt(n + 1)).astype(np.float32)[:, None]  # contexts count by the root of their frequency
-    scale = np.float32(1 / max(1.0, np.sqrt(n + 1).mean()))
-    weight = per * scale
-    expected = (NOISE * n).astype(np.float32)[:, None] * noise.astype(np.float32)[None, :] * weight
-    data = pairs.astype(np.float32) * weight
-    log_q = np.log(noise).astype(np.float32)
-    a = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32)
-    b = np.concatenate([rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32), np.zeros((size, 1), np.float32)], axis=1)  # last: bias over log q
-    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (a, b)]
-    ones = np.ones((size, 1), np.float32)
-    shift = np.float32(np.log(NOISE))
-    for t in range(1, steps + 1):
-        wide = np.concatenate([a, ones], axis=1)
-        posterior = wide @ b.T
-        posterior -= shift
-        np.negative(posterior, out=posterior)
-        np.exp(np.minimum(posterior, 30, out=posterior), out=posterior)
-        posterior += 1
-        np.reciprocal(posterior, out=posterior)
-        slope = data - (data + expected) * posterior
-        grads = (slope @ b[:, :-1] - 1e-3 * a, slope.T @ wide - 1e-3 * b)
-        for x, g, (m, v) in zip((a, b), grads, moments):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.98
-            v += 0.02 * g * g
-            x += RATE * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-6)
-    b[:, -1] += log_q
-    z = np.concatenate([log_sum_exp(np.concatenate([a[lo : lo + 256], ones[lo : lo + 256]], axis=1) @ b.T) for lo in range(0, size, 256)])
-    return a, b, z
-
-
-def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1, dtype=np.float64))
-
-
-@dataclass
 class LogBilinear:
-    unigram: np.ndarray  # probability of each class; START has none
-    positions: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    @staticmethod
-    def fit(pairs: np.ndarray) -> LogBilinear:
-        """From pair counts of shape (positions, contexts, classes)."""
-        counts = pairs[0].sum(axis=0, dtype=np.float64) + 0.5
-        counts[START] = 1e-9
-        q = counts / counts.sum()
-        return LogBilinear(q, [nce_fit(p, q) for p in pairs])
-
-    def probability(self, token: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """Of each token, normalised over the classes."""
-        p = MIXTURE[-1] * self.unigram[token]
-        for share, at, (a, b, z) in zip(MIXTURE, contexts, self.positions):
-            for lo in range(0, len(token), 1 << 15):
-                part = slice(lo, lo + (1 << 15))
-                u, w = at[part], token[part]
-                bw = b[w]
-                score = np.einsum("ij,ij->i", a[u], bw[:, :-1]) + bw[:, -1]
-                p[part] += share * np.exp(score - z[u])
-        return p
+    """Parameters lie in one array: context vectors, position transforms, class vectors, biases; ``squares`` are AdaGrad's sums."""
+
+    def __init__(self, unigram: np.ndarray, seed: int = 3):
+        n, d = len(unigram), DIMENSIONS
+        rng = np.random.default_rng(seed)
+        self.unigram = unigram
+        self.values = np.concatenate([rng.normal(0, 0.1, n * d), np.ones(2 * d), rng.normal(0, 0.1, n * d), np.log(unigram)]).astype(np.float32)
+        self.squares = np.full(len(self.values), 1e-2, np.float32)
+
+    def parts(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views (contexts, transforms, classes, biases)."""
+        n, d = len(self.unigram), DIMENSIONS
+        r, c, q, bias = np.split(of, np.cumsum([n * d, 2 * d, n * d]))
+        return r.reshape(n, d), c.reshape(2, d), q.reshape(n, d), bias
+
+    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        r, c, _, _ = self.parts(self.values)
+        return r[one] * c[0] + r[two] * c[1]
+
+    def train(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
+        """One pass of noise-contrastive steps: maximises log s(d) of the tokens + sum log s(-d) of the noise, d = score - log(NOISE * unigram)."""
+        r, c, q, bias = self.parts(self.values)
+        squares = self.parts(self.squares)
+        log_noise = np.log(NOISE * self.unigram).astype(np.float32)
+        bounds = np.cumsum(self.unigram)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+        def climb(values: np.ndarray, sums: np.ndarray, at: np.ndarray, slope: np.ndarray) -> None:
+            """AdaGrad on the rows ``at``, whose slopes are added up where they repeat."""
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            slope, at = np.add.reduceat(slope[order], starts, axis=0), at[starts]
+            sums[at] += slope * slope
+            values[at] += rate * slope / np.sqrt(sums[at])
+
+        for lo in range(0, len(token), BATCH):
+            w, u1, u2 = token[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
+            noise = np.minimum(np.searchsorted(bounds, rng.random(NOISE) * bounds[-1]), len(bounds) - 1)
+            r1, r2 = r[u1], r[u2]
+            h = r1 * c[0] + r2 * c[1]
+            qw, qn = q[w], q[noise]
+            up = 1 - sigmoid(np.einsum("ij,ij->i", h, qw) + bias[w] - log_noise[w])
+            down = -sigmoid(h @ qn.T + bias[noise] - log_noise[noise])
+            dh = up[:, None] * qw + down @ qn
+            at = np.concatenate([w, noise])
+            climb(q, squares[2], at, np.concatenate([up[:, None] * h, down.T @ h]))
+            climb(bias, squares[3], at, np.concatenate([up, down.sum(axis=0)]))
+            climb(r, squares[0], np.concatenate([u1, u2]), np.concatenate([dh * c[0], dh * c[1]]))
+            dc = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)])
+            squares[1][:] += dc * dc
+            c += rate * dc / np.sqrt(squares[1])
+
+    def normalisers(self, two: int) -> np.ndarray:
+        """Log normaliser of each context whose farther class is ``two``, by the nearer class."""
+        r, c, q, bias = self.parts(self.values)
+        scores = (r * c[0] + r[two] * c[1]) @ q.T
+        scores += bias
+        top = scores.max(axis=1, keepdims=True)
+        return (np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]).astype(np.float32)
+
+    def log_probability(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
+        """Of each token, normalised over the classes; ``normalisers`` by farther and nearer class."""
+        _, _, q, bias = self.parts(self.values)
+        out = np.empty(len(token))
+        for lo in range(0, len(token), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            out[part] = np.einsum("ij,ij->i", self.context(one[part], two[part]), q[token[part]]) + bias[token[part]] - normalisers[two[part], one[part]]
+        return out
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -176,66 +181,89 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "hash long, bucket int, n long").groupBy("hash").agg(F.max("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def pair_counts(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """(2, CLASSES, CLASSES): how often a class follows a context class at distance 1 and 2."""
-    shared = training.sparkSession.sparkContext.broadcast(vocabulary)  # WORDS hashes
+def class_counts(counts: DataFrame, buckets: np.ndarray, n: np.ndarray, n_end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each class in the training rows, and of each bucket its tokens and distinct words together; top words have these buckets and counts."""
+    in_bucket, words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for at, total, distinct in counts.groupBy("bucket").agg(F.sum("n"), F.count("*")).collect():  # at most BUCKETS rows
+        in_bucket[at], words[at] = total, distinct
+    np.subtract.at(in_bucket, buckets, n)
+    np.subtract.at(words, buckets, 1)
+    tokens = np.zeros(CLASSES, np.int64)
+    tokens[END], tokens[FIRST_WORD : FIRST_WORD + len(n)], tokens[FIRST_WORD + WORDS :] = n_end, n, in_bucket
+    return tokens, in_bucket + words
+
+
+def tokens_of(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for s in slices(texts):
+        yield with_ends(s, vocabulary.classes(s.hashes(), bucket(s)))
+
+
+def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray) -> LogBilinear:
+    """The model of all training rows."""
+    unigram = tokens + 0.5
+    unigram[START] = 1e-3
+    model = LogBilinear(unigram / unigram.sum())
+    sample = training.select("text", F.xxhash64("text").alias("place")).orderBy("place", "text").limit(WARM_ROWS).select("text").toArrow()
+    rng = np.random.default_rng(5)
+    if sample.num_rows:
+        warm = [np.concatenate(x) for x in zip(*tokens_of(sample.column("text"), vocabulary))][:3]
+        for epoch in range(WARM_EPOCHS):
+            model.train(*warm, rng, RATE * (1 - epoch / (WARM_EPOCHS + 1)))
+    shared = training.sparkSession.sparkContext.broadcast((vocabulary, model))  # of fixed size
+    size = len(model.values) + 1
+    padded = -(-size // BLOCK) * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        sums = np.zeros(2 * CLASSES * CLASSES, np.int32)
-        size = 0
-
-        def add() -> None:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            sums[code] += n.astype(np.int32)
-            codes.clear()
+        known, start = shared.value
+        own = copy.deepcopy(start)
+        noise = np.random.default_rng(TaskContext.get().partitionId())
+        n = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size_held = 0
+        for b in batches:
+            for token, one, two, _ in tokens_of(b.column(0), known):
+                held.append((token, one, two))
+                size_held += len(token)
+                if size_held > 1 << 18:
+                    own.train(*(np.concatenate(x) for x in zip(*held)), noise, RATE)
+                    n, held, size_held = n + size_held, [], 0
+        if held:
+            own.train(*(np.concatenate(x) for x in zip(*held)), noise, RATE)
+            n += size_held
+        sent = np.zeros(padded)
+        sent[: size - 1] = own.values.astype(np.float64) * n
+        sent[size - 1] = n
+        numbers, content = blocks(sent)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["block", "content"])
+
+    total = combined(training.mapInArrow(run, "block int, content binary"), padded, "float64", "sum")
+    if total[size - 1]:
+        model.values = (total[: size - 1] / total[size - 1]).astype(np.float32)
+    return model
+
+
+def normalisers_of(spark: SparkSession, model: LogBilinear) -> np.ndarray:
+    """(CLASSES, CLASSES): log normalisers by farther and nearer class."""
+    shared = spark.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b.column(0)):
-                token, one, two, _ = with_ends(s, shared.value.classes(s.hashes(), bucket(s)))
-                codes += [(one * CLASSES + token).astype(np.int32), ((CLASSES + two) * CLASSES + token).astype(np.int32)]
-                size += 2 * len(token)
-                if size > 1 << 22:
-                    add()
-                    size = 0
-        if codes:
-            add()
-        table = sums.reshape(2 * CLASSES, CLASSES)
-        full = np.flatnonzero(table.any(axis=1))
-        for lo in range(0, len(full), 512):
-            rows = full[lo : lo + 512]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array([packed(table[r]) for r in rows], pa.binary())], ["context", "counts"])
-
-    def add_up(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
-        for b in parts:
-            for x in b.column("counts"):
-                at, n = unpacked(x.as_py())
-                total[at] += n
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["context", "counts"])
-
-    sent = training.mapInArrow(run, "context int, counts binary")
-    rows = sent.groupBy("context").applyInArrow(add_up, "context int, counts binary").toArrow()  # at most 2 * CLASSES rows
-    out = np.zeros((2 * CLASSES, CLASSES), np.int64)
-    for context, counts in zip(rows.column("context").to_pylist(), rows.column("counts")):
-        out[context] = np.frombuffer(counts.as_py(), np.int64)
-    return out.reshape(2, CLASSES, CLASSES)
-
-
-def packed(row: np.ndarray) -> bytes:
-    at = np.flatnonzero(row)
-    return np.concatenate([at.astype(np.uint32), row[at].astype(np.uint32)]).tobytes()
-
-
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(data, np.uint32).astype(np.int64)
-    return x[: len(x) // 2], x[len(x) // 2 :]
+            for two in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([two], pa.int64()), pa.array([shared.value.normalisers(two).tobytes()], pa.binary())], ["two", "logs"])
+
+    n = len(model.unigram)
+    rows = spark.range(0, n, 1, 64).mapInArrow(run, "two long, logs binary").toArrow()  # n rows of 4 * n bytes
+    out = np.empty((n, n), np.float32)
+    for two, logs in zip(rows.column("two").to_pylist(), rows.column("logs")):
+        out[two] = np.frombuffer(logs.as_buffer(), np.float32)
+    return out
 
 
 @dataclass
 class Scorer:
     vocabulary: Vocabulary
     model: LogBilinear
+    normalisers: np.ndarray
     frequent: np.ndarray  # hashes, sorted
     log_counts: np.ndarray  # log10(c + 1)
     bucket_sizes: np.ndarray  # log10 of what an add-one share in the bucket is out of
@@ -274,12 +302,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str
     h, b, n = frequent_words(counts, frequent)
     top = np.sort(np.lexsort((h, -n))[:WORDS])
     vocabulary = Vocabulary(h[top])
-    sizes = np.zeros(BUCKETS)
-    for at, total, distinct in counts.groupBy("bucket").agg(F.sum("n"), F.count("*")).collect():  # at most BUCKETS rows
-        sizes[at] = total + distinct
-    np.subtract.at(sizes, b[top], n[top] + 1)
-    model = LogBilinear.fit(pair_counts(training, vocabulary))
-    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, model, h, np.log10(n + 1.0), np.log10(sizes + 1), n_end))  # at most FREQUENT * 16 bytes and the model
+    tokens, sizes = class_counts(counts, b[top], n[top], n_end)
+    model = trained(training, vocabulary, tokens)
+    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, model, normalisers_of(spark, model), h, np.log10(n + 1.0), np.log10(sizes + 1.0), n_end))  # at most FREQUENT * 16 bytes, the model and its normalisers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = scorer.value
@@ -304,7 +329,7 @@ def scored(x: Scorer, s: Slice, rows: pa.RecordBatch, tag: int) -> pa.RecordBatc
     h, buckets = s.hashes(), bucket(s)
     classes = x.vocabulary.classes(h, buckets)
     token, one, two, doc = with_ends(s, classes)
-    lm = np.bincount(doc, np.log10(x.model.probability(token, [one, two])), s.n_docs)
+    lm = np.bincount(doc, x.model.log_probability(token, one, two, x.normalisers) / np.log(10), s.n_docs)
     at = np.searchsorted(x.frequent, h)
     at[at == len(x.frequent)] = 0
     known = x.frequent[at] == h if len(x.frequent) else np.zeros(len(h), bool)

@@ -17,7 +17,7 @@ def corpus():
     rnd = random.Random(4)
     a, b = [f"wa{i}" for i in range(40)], [f"zo{i}" for i in range(40)]
     rows = [(i, " ".join(rnd.choices(rnd.choice([a, b]), k=rnd.randrange(1, 60)))) for i in range(400)]
-    return rows + [(900, None), (901, ""), (902, "never seen before"), (903, "é É WA1"), (None, "wa1 wa2"), (5, "wa3"), (5, "wa3")]
+    return rows + [(900, None), (901, ""), (902, "never seen before"), (903, "é É WA1"), (None, "wa1 wa2"), (5, "wa3"), (5, "wa3"), (903, "wa1 " * 10_000)]
 
 
 @pytest.mark.parametrize("frequent", [1 << 19, 7, 0])
@@ -35,16 +35,41 @@ def test_against_brute_force(frame, frequent):
         assert sum(r.score for r in fair) > sum(r.base_score for r in fair)
 
 
-def test_probabilities_are_normalised():
+def chain(rng, n):
+    """Tokens that follow from the two before: a class says which of two groups comes next, the one before it where in the group."""
+    out = [2, 3]
+    for _ in range(n):
+        group = 2 + 20 * ((out[-1] + out[-2]) % 2)
+        out.append(group + int(rng.integers(0, 20)) if rng.random() < 0.1 else group + (out[-1] * 7 + 3) % 20)
+    return np.array(out)
+
+
+def test_probabilities_are_normalised_and_learned():
     rng = np.random.default_rng(0)
-    pairs = np.zeros((2, x.CLASSES, x.CLASSES), np.int64)
-    pairs[:, rng.integers(0, 50, 3000), rng.integers(2, 60, 3000)] = 5
-    model = x.LogBilinear.fit(pairs)
-    every = np.arange(x.CLASSES)
-    for one, two in ((1, 1), (7, 30), (2000, 1)):
-        p = model.probability(every, [np.full(x.CLASSES, one), np.full(x.CLASSES, two)])
-        assert abs(p.sum() - 1) < 1e-4
-        assert (p > 0).all()
+    seen = chain(rng, 60_000)
+    w, one, two = seen[2:], seen[1:-1], seen[:-2]
+    counts = np.bincount(seen, minlength=50) + 0.5
+    model = x.LogBilinear(counts / counts.sum())
+    logs = lambda m: np.stack([m.normalisers(t) for t in range(50)])
+    before = model.log_probability(w, one, two, logs(model)).mean()
+    for _ in range(5):
+        model.train(w, one, two, rng)
+    z = logs(model)
+    every = np.arange(50)
+    for u, v in ((1, 1), (7, 30), (40, 2)):
+        p = np.exp(model.log_probability(every, np.full(50, u), np.full(50, v), z))
+        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+    assert model.log_probability(w, one, two, z).mean() > before + 0.5
+
+
+def test_text_probability_by_hand(frame):
+    """A text's score is the sum over its tokens of class probability and share in the bucket, normalised by brute force."""
+    model = x.LogBilinear(np.full(6, 1 / 6))
+    r, c, q, bias = model.parts(model.values)
+    z = np.stack([model.normalisers(t) for t in range(6)])
+    for u1, u2, w in ((1, 1, 0), (3, 5, 2)):
+        scores = (r[u1] * c[0] + r[u2] * c[1]) @ q.T + bias
+        assert abs(model.log_probability(np.array([w]), np.array([u1]), np.array([u2]), z)[0] - (scores[w] - np.log(np.exp(scores).sum()))) < 1e-5
 
 
 def test_nothing_to_learn_from(frame):
