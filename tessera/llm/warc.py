@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)|[!?/])")
+#: A comment's beginning, a tag as far as its quotes are closed, or the beginning of something else. Whatever it meets it matches, so it never goes back.
+_OPEN = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)(>)?|[!?/])""")
 _STOP = re.compile("[>\"']")
 _LANG = re.compile(r"(?:^|[\s/\"'])lang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 #: Elements whose content is no part of the text.
 _DROPPED = frozenset("script style noscript template svg title".split())
+_CLOSING = {name: re.compile("</" + name, re.I | re.A) for name in _DROPPED}
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _META_BYTES = 1024  # as far as a page's own charset is looked for, as HTML has it
 
@@ -41,7 +43,7 @@ class _Finder:
     """``find`` that looks only once for what isn't there, so that a scan is linear."""
 
     def __init__(self, text: str):
-        self.text, self.lower = text, None
+        self.text = text
         self.absent: set[str] = set()
 
     def after(self, what: str, at: int) -> int:
@@ -56,22 +58,17 @@ class _Finder:
 
     def closing(self, name: str, at: int) -> int:
         """The place of the next ``</name``, in any case, or -1."""
-        what = "</" + name
-        if what in self.absent:
+        if name in self.absent:
             return -1
-        if self.lower is None:  # only A-Z, so that places stay
-            self.lower = self.text.translate(_LOWER)
-        found = self.lower.find(what, at)
-        if found < 0:
-            self.absent.add(what)
-        return found
-
-
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+        found = _CLOSING[name].search(self.text, at)
+        if found is None:
+            self.absent.add(name)
+            return -1
+        return found.start()
 
 
 def _tag_end(page: str, at: int, find: _Finder) -> int:
-    """Behind the tag whose name ends at ``at``; quoted values may hold ``>``, a quote that isn't closed is no quote."""
+    """Behind the tag that goes on at ``at``; quoted values may hold ``>``, a quote that isn't closed is no quote."""
     while (m := _STOP.search(page, at)) is not None:
         at = m.end()
         if m[0] == ">":
@@ -97,9 +94,9 @@ def scan(page: str) -> tuple[str, str | None, str | None]:
             at = end if end > 0 else n
             out.append(" ")
             continue
-        name = (m[3] or "").translate(_LOWER)
-        at = _tag_end(page, m.end(), find)
-        if name == "html" and not m[2] and lang is None and (found := _LANG.search(page[m.end() : at])):
+        name = m[3].lower() if m[3] else ""
+        at = m.end() if m[5] else _tag_end(page, m.end(), find)
+        if name == "html" and not m[2] and lang is None and (found := _LANG.search(m[4])):
             lang = found[1]
         if name in _DROPPED and not m[2]:
             close = find.closing(name, at)
