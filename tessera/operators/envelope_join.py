@@ -3,13 +3,17 @@
 ``grid`` (the default) is an equi-join on grid cells, which Spark shuffles, sorts and splits where cells are crowded. Cells are of
 levels, each 4 times as wide as the one below: a geometry lies at the lowest level whose cells aren't narrower than its envelope, so
 it covers at most 4 of them, however large it is. It is listed at its own and at higher levels that occur, and a pair meets at the
-higher of its two levels, in the one cell that holds the lower left corner of what the envelopes share, so no pair is met twice.
+higher of its two levels, in the one cell that holds the lower left corner of what the envelopes share, so no pair is met twice. The few widest
+geometries, at most ``BROAD`` and far wider than most, are held against the whole other layer instead, so that they bring no level of wide cells about.
 ``partitioned`` is the same within equal ``pid``, and so keeps what replication doubles. ``nested`` compares all pairs: for small layers and for tests.
+
+The grid's shape comes from one pass over the envelopes: hand in layers that are stored (``layers.stored``, or any table), of which it reads four columns and parses nothing.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +23,7 @@ Strategy = Literal["grid", "partitioned", "nested"]
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 STEP = 4
 MAX_LEVEL = 24
+BROAD = 64
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
@@ -32,14 +37,42 @@ def envelopes_meet(a: str = "left_", b: str = "right_") -> Column:
     return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
 
 
-def grid_shape(left: DataFrame, right: DataFrame) -> tuple[float, list[float]]:
-    """Twice the mean width of both layers' envelopes, and bounds of the widths that occur, in powers of STEP; in one pass."""
+@dataclass
+class Shape:
+    cell: float  # width of the lowest cells
+    levels: list[int]  # that may occur
+    broad: float | None = None  # envelopes at least so wide are held against the whole other layer
+
+
+def grid_shape(left: DataFrame, right: DataFrame) -> Shape:
+    """Cells twice as wide as the median envelope, as far as a power of STEP tells it; where that is a point, as wide as leaves one row to a cell if rows were spread evenly."""
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    both = left.select(width.alias("w")).unionAll(right.select(width.alias("w"))).where("w >= 0 and w < double('infinity')")
-    power = F.when(F.col("w") > 0, F.ceil(F.log("w") / F.log(F.lit(float(STEP))))).otherwise(0)
-    found = both.groupBy(power.alias("power")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most")).collect()  # a row for each power of STEP
-    mean = sum(r.w for r in found) / max(1, sum(r.n for r in found))
-    return 2.0 * mean or 1.0, [x for r in found for x in (r.least, r.most)]
+    places = [F.col(c) for c in ENVELOPE]
+    both = left.select(width.alias("w"), *places).unionAll(right.select(width.alias("w"), *places)).where("w >= 0 and w < double('infinity')")
+    power = F.when(F.col("w") > 0, F.ceil(F.log("w") / F.log(F.lit(float(STEP)))))
+    found = both.groupBy(power.alias("power")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.min("xmin").alias("x1"), F.max("xmax").alias("x2"), F.min("ymin").alias("y1"), F.max("ymax").alias("y2")).collect()  # a row for each power of STEP
+    if not found:
+        return Shape(1.0, [])
+    found.sort(key=lambda r: r.most)
+    n = sum(r.n for r in found)
+    below, median = 0, found[0]
+    for r in found:
+        median, below = r, below + r.n
+        if 2 * below >= n:
+            break
+    cell = 2.0 * median.w / median.n
+    if not cell:
+        x, y = (max(r[high] for r in found) - min(r[low] for r in found) for low, high in (("x1", "x2"), ("y1", "y2")))
+        cell = math.sqrt(x * y / n) or max(x, y) / n or 1.0
+    broad, rest = None, 0
+    for r in reversed(found):
+        rest += r.n
+        if rest > BROAD or level_of(r.least, cell) < 2:
+            break
+        broad = r.least
+    # those between the least and the most of each power of STEP, which are next to each other
+    levels = {x for r in found if broad is None or r.least < broad for x in range(level_of(r.least, cell), level_of(r.most, cell) + 1)}
+    return Shape(cell, sorted(levels), broad)
 
 
 def level_of(width: float, cell: float) -> int:
@@ -47,8 +80,7 @@ def level_of(width: float, cell: float) -> int:
 
 
 def _level(prefix: str, cell: float) -> Column:
-    width = F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
-    level = F.ceil(F.log(F.greatest(width / cell, F.lit(1.0))) / F.log(F.lit(float(STEP))) - 1e-9)
+    level = F.ceil(F.log(F.greatest(_width(prefix) / cell, F.lit(1.0))) / F.log(F.lit(float(STEP))) - 1e-9)
     return F.least(F.lit(MAX_LEVEL), level).cast("int")
 
 
@@ -67,6 +99,10 @@ def _listed(side: DataFrame, prefix: str, levels: list[int], cell: float) -> Dat
     return rows
 
 
+def _width(prefix: str) -> Column:
+    return F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
+
+
 def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, levels: list[int] | None = None) -> DataFrame:
     """Every pair of rows whose envelopes intersect, columns prefixed with ``left_`` and ``right_``.
 
@@ -79,15 +115,27 @@ def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid"
     if strategy == "partitioned":
         a, b = a.withColumn("__pid", F.col("left_pid")), b.withColumn("__pid", F.col("right_pid"))
         within = ["__pid"]
-    if cell is None or levels is None:
-        found_cell, widths = grid_shape(left, right)
-        cell = cell or found_cell
-        if levels is None:  # those between the least and the most of each power of STEP, which are next to each other
-            levels = sorted({x for low, high in zip(widths[::2], widths[1::2]) for x in range(level_of(low, cell), level_of(high, cell) + 1)})
-    if not levels:
-        return a.join(b, F.lit(False)).drop("__pid")
-    met = _listed(a, "left_", levels, cell).join(_listed(b, "right_", levels, cell), [*within, "__level", "__cx", "__cy"]).where(envelopes_meet())
-    once = F.col("__level") == F.greatest("__left_level", "__right_level")
-    for axis in "xy":
-        once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), cell)
-    return met.where(once).drop(*within, "__level", "__cx", "__cy", "__left_level", "__right_level")
+    if cell is not None and levels is not None:
+        shape = Shape(cell, levels)
+    else:
+        shape = grid_shape(left, right)
+        if cell is not None:  # levels are of the shape's own cells
+            shape = Shape(cell, list(range(level_of(shape.cell * STEP ** max(shape.levels, default=0), cell) + 1)) if shape.levels else [], shape.broad)
+    parts = []
+    if shape.broad is not None:
+        wide_a, wide_b = _width("left_") >= shape.broad, _width("right_") >= shape.broad
+        meet = envelopes_meet() & (F.col("left_pid") == F.col("right_pid")) if within else envelopes_meet()
+        parts = [F.broadcast(a.where(wide_a)).join(b, meet), a.where(~wide_a).join(F.broadcast(b.where(wide_b)), meet)]  # at most BROAD rows
+        parts = [x.drop("__pid") for x in parts]
+        a, b = a.where(~wide_a), b.where(~wide_b)
+    if not shape.levels:
+        near = a.join(b, F.lit(False)).drop("__pid")
+    else:
+        met = _listed(a, "left_", shape.levels, shape.cell).join(_listed(b, "right_", shape.levels, shape.cell), [*within, "__level", "__cx", "__cy"]).where(envelopes_meet())
+        once = F.col("__level") == F.greatest("__left_level", "__right_level")
+        for axis in "xy":
+            once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), shape.cell)
+        near = met.where(once).drop(*within, "__level", "__cx", "__cy", "__left_level", "__right_level")
+    for x in parts:
+        near = near.unionByName(x)
+    return near

@@ -11,7 +11,8 @@ from tessera.functions.geometry import call, register
 from tessera.operators.envelope_join import envelope_join
 from tessera.operators.spatial_join import intersecting_pairs, intersections
 from tessera.plans.measures import measure
-from tessera.sources.layers import parse_envelopes, parse_lines
+from tessera.scratch import Scratch
+from tessera.sources.layers import parse_envelopes, parse_lines, read_partitioned, read_wkb_hex, read_wkt, stored
 
 # The two box layers, in SQL that Spark and DuckDB read alike.
 LAYER_A = """SELECT p_partkey AS id, (p_partkey * p_partkey * 31 + p_partkey * 17) % 1009 AS x1, (p_partkey * p_partkey * p_partkey * 13 + p_partkey * 5) % 1013 AS y1,
@@ -39,7 +40,70 @@ def layer(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return layer(spark, sf_dir, "a"), layer(spark, sf_dir, "b")
+    """Both layers, parsed once and stored."""
+    return stored(layer(spark, sf_dir, "a")), stored(layer(spark, sf_dir, "b"))
+
+
+def _lines(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Lines of a layer, each with its partition number: boxes of WKT."""
+    table, sql = {"a": ("part", LAYER_A), "b": ("customer", LAYER_B)}[which]
+    return _boxes(spark, sf_dir, table, sql).selectExpr("pid", f"concat('POLYGON', {_box_wkt()}) AS value")
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str | None = None) -> str:
+    """A folder of text files; with a name, one file for each ``pid``, named with its number."""
+    folder = Scratch(spark).folder(keep=True)
+    if name is None:
+        lines.select("value").write.text(folder)
+        return folder
+    lines.repartition("pid").write.partitionBy("pid").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.listStatus(path(folder)):
+        at = part.getPath()
+        if at.getName().startswith("pid="):
+            for f in files.listStatus(at):
+                if f.getPath().getName().startswith("part-"):
+                    files.rename(f.getPath(), path(at.getParent(), f"{name}{at.getName().removeprefix('pid=')}"))
+            files.delete(at, True)
+    return folder
+
+
+_GEOMETRY = ("geom_type", "xmin", "ymin", "xmax", "ymax")
+
+
+def read_wkt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WKT files read in parallel, validity as the number of lines says: here there are 200 and more, so bow ties are dropped."""
+    bow_ties = "SELECT 0 AS pid, 'POLYGON((0 0,4 4,4 0,0 4,0 0))' AS value"
+    return read_wkt(spark, _written(spark, _lines(spark, sf_dir, "a").unionByName(spark.sql(bow_ties))), validate="auto").select(*_GEOMETRY)
+
+
+def read_few_wkt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under 200 lines, so invalid geometries stay: a bow tie for each nation."""
+    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("concat('POLYGON((', n_nationkey, ' 0,', n_nationkey + 4, ' 4,', n_nationkey + 4, ' 0,', n_nationkey, ' 4,', n_nationkey, ' 0))') AS value")
+    return read_wkt(spark, _written(spark, lines), validate="auto").select(*_GEOMETRY)
+
+
+def read_wkb_hex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    return read_wkb_hex(spark, _written(spark, _lines(spark, sf_dir, "b").selectExpr("hex(st_geomfromtext(value)) AS value"))).select(*_GEOMETRY)
+
+
+def join_partition_files_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of numbered partition files, joined within equal numbers."""
+    a, b = (stored(read_partitioned(spark, _written(spark, _lines(spark, sf_dir, which), which))) for which in "ab")
+    return measure(a, b, "intersection_points", "partitioned")
+
+
+def join_shapes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, level lines and triples of points, by turns, with boxes that have a hole."""
+    register(spark)
+    shape = "CASE id % 3 WHEN 0 THEN concat('POINT(', x1, ' ', y1, ')') WHEN 1 THEN concat('LINESTRING(', x1, ' ', y1, ',', x1 + w, ' ', y1, ')') ELSE concat('MULTIPOINT((', x1, ' ', y1, '),(', x1 + w, ' ', y1, '))') END"
+    shapes = parse_lines(_boxes(spark, sf_dir, "part", LAYER_A).selectExpr("id", f"{shape} AS value"))
+    outer = "(x1, ' ', y1, ',', x1 + 20, ' ', y1, ',', x1 + 20, ' ', y1 + 20, ',', x1, ' ', y1 + 20, ',', x1, ' ', y1)"
+    hole = "(x1 + 4, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 4)"
+    rings = parse_lines(_boxes(spark, sf_dir, "customer", LAYER_B).selectExpr("id", f"concat('POLYGON((', concat{outer}, '),(', concat{hole}, '))') AS value"))
+    return intersecting_pairs(stored(shapes), stored(rings)).select("left_id", "right_id")
 
 
 def envelope_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +177,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_envelopes": ingest_envelopes,
     "ingest_envelope_weights": ingest_envelope_weights,
     "geometry_functions": geometry_functions,
+    "read_wkt_files": read_wkt_files,
+    "read_few_wkt_lines": read_few_wkt_lines,
+    "read_wkb_hex_files": read_wkb_hex_files,
+    "join_partition_files_points": join_partition_files_points,
+    "join_shapes_pairs": join_shapes_pairs,
 }
 
 _PAIRS = f"""WITH a AS (SELECT id AS left_id, pid AS apid, x1 AS ax1, x1 + w AS ax2, y1 AS ay1, y1 + h AS ay2 FROM ({LAYER_A})),
@@ -153,4 +222,13 @@ ORACLES: dict[str, str] = {
     "ingest_envelopes": f"SELECT id, xmin, xmax, ymin, ymax FROM {_A}",
     "ingest_envelope_weights": f"SELECT id, xmin, xmax, ymin, ymax, pid AS weight FROM {_A}",
     "geometry_functions": f"SELECT id, true AS valid, 5 AS n_points, 1 AS n_parts, 'Polygon' AS geom_type, true AS touches_corner, 'POINT (' || (x1 + w) || ' ' || (y1 + h) || ')' AS corner, 5 AS union_points, 1 AS n_dumped FROM {_B}",
+    "read_wkt_files": f"SELECT 'Polygon' AS geom_type, xmin, ymin, xmax, ymax FROM {_A}",
+    "read_few_wkt_lines": "SELECT 'Polygon' AS geom_type, CAST(n_nationkey AS DOUBLE) AS xmin, CAST(0 AS DOUBLE) AS ymin, CAST(n_nationkey + 4 AS DOUBLE) AS xmax, CAST(4 AS DOUBLE) AS ymax FROM nation",
+    "read_wkb_hex_files": f"SELECT 'Polygon' AS geom_type, xmin, ymin, xmax, ymax FROM {_B}",
+    "join_partition_files_points": _total("np_i", "apid = bpid"),
+    # A point or a level line meets a box with a hole where it meets the box and isn't inside the hole; of two points one has to.
+    "join_shapes_pairs": f"""WITH s AS (SELECT id AS left_id, id % 3 AS kind, x1 AS sx, x1 + w AS ex, y1 AS sy FROM ({LAYER_A})), r AS (SELECT id AS right_id, x1 AS rx, y1 AS ry FROM ({LAYER_B})),
+        met AS (SELECT *, sx BETWEEN rx AND rx + 20 AND NOT (sx > rx + 4 AND sx < rx + 16 AND sy > ry + 4 AND sy < ry + 16) AS first, ex BETWEEN rx AND rx + 20 AND NOT (ex > rx + 4 AND ex < rx + 16 AND sy > ry + 4 AND sy < ry + 16) AS last
+            FROM s JOIN r ON sx <= rx + 20 AND ex >= rx AND sy BETWEEN ry AND ry + 20)
+        SELECT left_id, right_id FROM met WHERE CASE kind WHEN 0 THEN first WHEN 2 THEN first OR last ELSE NOT (sx > rx + 4 AND ex < rx + 16 AND sy > ry + 4 AND sy < ry + 16) END""",
 }
