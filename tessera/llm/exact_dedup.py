@@ -143,8 +143,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Verdicts are joined back by id and digest: the rows of which none stays, and those of which one of several does, are few, so that Spark may broadcast their
-    keys and leave the texts where they are. Of rows that repeat id and text the one that stays is the first by a hash of its columns.
+    Verdicts are joined back by id and digest: the rows of which none stays, and those of which one of several does, are few; their keys are broadcast up to
+    64 MB, measured first, and the texts stay where they are. Of rows that repeat id and text the one that stays is the first by a hash of its columns.
     """
     spark = docs.sparkSession
     id_, sha, nth = unused(docs.columns, "__id", "__sha", "__nth")
@@ -152,9 +152,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.withColumns({id_: F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("no id")), sha: F.sha2(spaced.cast("binary"), 256)})
     verdict = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")).alias(id_), F.col("text_sha256").alias(sha))
     counted = Scratch(spark).table(verdict.agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")), keep=True)
-    gone = counted.where("stay = 0").select(id_, sha)
-    twice = counted.where("stay > 0 and rows > 1").select(id_, sha)
-    once = keyed.join(gone.union(twice), [id_, sha], "left_anti")
+    twice = light(counted.where("stay > 0 and rows > 1").select(id_, sha))
+    once = keyed.join(light(counted.where("stay = 0 or rows > 1").select(id_, sha)), [id_, sha], "left_anti")
     order = F.row_number().over(Window.partitionBy(id_, sha).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
     first = keyed.join(twice, [id_, sha], "left_semi").withColumn(nth, order).where(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
