@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.lm_scoring import score_texts
+from tessera.llm.merkle import manifest
 from tessera.llm.mixing import mix_sources, temperature_weights
 from tessera.llm.ngram_join import ngram_components
+from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import repeated_passages
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import filter_urls, host, path
 from tessera.llm.warc import derivatives, responses
+from tessera.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +89,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None =
     return token_counts(_read(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    found = [F.col(c) + touched.cast("long") if c == "n_chars" else F.col(c) for c in names]
+    return manifest(docs, names, found=found).proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack(_read(spark, sf_dir, "documents"), model_file or public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -169,4 +194,32 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a)
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
     """,
+    # crc32 is spelled out: for each byte one exclusive or and eight shifts
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT *, xor(4294967295, list_reduce([4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')]),
+                   lambda crc, o: CASE WHEN o >= 0 THEN xor(crc, o) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 7 = 0 AS touched FROM documents),
+        v AS (
+          SELECT doc_id, coalesce('=' || lang, '') AS key, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                 coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars, n_chars + CASE WHEN touched THEN 1 ELSE 0 END AS n_found FROM d),
+        hashed AS (SELECT doc_id, key, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(strlen(n_found::VARCHAR) || ':' || n_found, '-') || tail) AS found FROM v),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM hashed),
+        tree AS (
+          SELECT key, 0 AS level, idx, leaf AS h, n FROM leaves
+          UNION ALL SELECT key, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY key, level, idx // 2),
+        subroots AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+        upper AS (
+          SELECT 0 AS level, idx, h, n FROM subroots
+          UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM upper WHERE n > 1 GROUP BY level, idx // 2),
+        walk AS (
+          SELECT key, idx AS leaf_idx, 0 AS level, idx, n, found AS h, '' AS proof FROM leaves
+          UNION ALL SELECT w.key, w.leaf_idx, w.level + 1, w.idx // 2, (w.n + 1) // 2, sha256(CASE WHEN w.idx % 2 = 0 THEN w.h || coalesce(t.h, '') ELSE t.h || w.h END), w.proof || coalesce(t.h, '')
+          FROM walk w LEFT JOIN tree t ON t.key = w.key AND t.level = w.level AND t.idx = xor(w.idx, 1) WHERE w.n > 1),
+        rise AS (
+          SELECT w.key, w.leaf_idx, 0 AS level, s.idx, s.n, w.h, w.proof FROM walk w JOIN subroots s USING (key) WHERE w.n = 1
+          UNION ALL SELECT w.key, w.leaf_idx, w.level + 1, w.idx // 2, (w.n + 1) // 2, sha256(CASE WHEN w.idx % 2 = 0 THEN w.h || coalesce(t.h, '') ELSE t.h || w.h END), w.proof || coalesce(t.h, '')
+          FROM rise w LEFT JOIN upper t ON t.level = w.level AND t.idx = xor(w.idx, 1) WHERE w.n > 1)
+        SELECT l.doc_id, l.leaf, s.h AS subroot, u.h AS root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = u.h AS verified
+        FROM leaves l JOIN rise r ON r.key = l.key AND r.leaf_idx = l.idx AND r.n = 1 JOIN subroots s ON s.key = l.key JOIN upper u ON u.n = 1
+    """,
 }
