@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 SOURCE = Path(__file__).parent / "java" / "Functions.java"
 
 #: What a line holds: its geometries by number, with their type and envelope.
-PARTS = "array<struct<part:int,geom:binary,geom_type:string,xmin:double,ymin:double,xmax:double,ymax:double>>"
+PARTS = "array<struct<part:int,geom:binary,geom_type:string,points:int,xmin:double,ymin:double,xmax:double,ymax:double>>"
+
+#: What two geometries share.
+SHARED = "array<struct<geom:binary,geom_type:string,n_points:int,xmin:double,ymin:double,xmax:double,ymax:double>>"
 
 #: SQL name, class, type of the result
 FUNCTIONS: list[tuple[str, str, T.DataType | str]] = [
@@ -43,6 +46,12 @@ FUNCTIONS: list[tuple[str, str, T.DataType | str]] = [
     ("st_union_npoints", "UnionPoints", T.IntegerType()),
     ("st_layerfromtext", "LayerFromText", PARTS),
     ("st_layerfromwkbhex", "LayerFromHex", PARTS),
+    # of a run: an array of geometries with one other
+    ("st_intersects_each", "IntersectsEach", "array<boolean>"),
+    ("st_intersection_each", "IntersectionEach", SHARED),
+    ("st_intersection_npoints_each", "IntersectionPointsEach", "array<int>"),
+    ("st_union_npoints_each", "UnionPointsEach", "array<int>"),
+    ("st_preparations", "Preparations", T.LongType()),
 ]
 
 _registered: set[int] = set()

@@ -1,141 +1,127 @@
 """Candidate pairs of two layers: rows whose envelopes intersect, touching included.
 
-``grid`` (the default) is an equi-join on grid cells, which Spark shuffles, sorts and splits where cells are crowded. Cells are of
-levels, each 4 times as wide as the one below: a geometry lies at the lowest level whose cells aren't narrower than its envelope, so
-it covers at most 4 of them, however large it is. It is listed at its own and at higher levels that occur, and a pair meets at the
-higher of its two levels, in the one cell that holds the lower left corner of what the envelopes share, so no pair is met twice. The few widest
-geometries, at most ``BROAD`` and far wider than most, are held against the whole other layer instead, so that they bring no level of wide cells about.
-``partitioned`` is the same within equal ``pid``, and so keeps what replication doubles. ``nested`` compares all pairs: for small layers and for tests.
-
-The grid's shape comes from one pass over the envelopes: hand in layers that are stored (``layers.stored``, or any table), of which it reads four columns and parses nothing.
+Strategies find the same pairs:
+
+``grid``         an equi-join on grid cells (``operators.grid``), which Spark shuffles, sorts and splits where cells are crowded. The few widest geometries, at most
+                 ``BROAD``, are held against the whole other layer instead, so that they bring no level of wide cells about.
+``tree``         a packed R-tree of the smaller layer's envelopes is broadcast and probed by the larger one, which isn't shuffled. Where
+                 the smaller layer's envelopes measure more than ``TREE_BYTES``, the grid takes its place.
+``partitioned``  the grid within equal ``pid``; keeps what replication doubles, unless it is told the regions that ``pid`` numbers (``operators.regions``).
+``blocks``       a matrix of blocks, each pair of rows met in one of them (``operators.blocks``): for layers whose envelopes nearly all overlap.
+``nested``       compares all pairs: for small layers and for tests.
+
+Only row numbers, envelopes and other plain columns are joined. What is heavy (binary, text, nested columns) is fetched by row number for the pairs found: see ``operators.fetch``.
+Rows without an envelope (null or NaN bounds, or a lower bound above the upper) are in no pair; unbounded envelopes are as any other.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-Strategy = Literal["grid", "partitioned", "nested"]
-ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
-STEP = 4
-MAX_LEVEL = 24
-BROAD = 64
-
-
-def _side(df: DataFrame, prefix: str) -> DataFrame:
-    """The layer's columns under a prefix, rows without an envelope left out."""
-    known = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ENVELOPE))
-    return known.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns])
-
-
-def envelopes_meet(a: str = "left_", b: str = "right_") -> Column:
-    c = lambda p, x: F.col(f"{p}{x}")
-    return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
+from tessera.operators import grid
+from tessera.operators.blocks import block_join
+from tessera.operators.fetch import ROW, fetched, is_plain, numbered
+from tessera.operators.packed_tree import PackedTree
+from tessera.operators.regions import Regions, met_in_own
 
-
-@dataclass
-class Shape:
-    cell: float  # width of the lowest cells
-    levels: list[int]  # that may occur
-    broad: float | None = None  # envelopes at least so wide are held against the whole other layer
+Strategy = Literal["grid", "tree", "partitioned", "blocks", "nested"]
+ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
+TREE_BYTES = 64 << 20
+KNOWN = " and ".join([*(f"{c} is not null and not isnan({c})" for c in ENVELOPE), "xmin <= xmax", "ymin <= ymax"])
 
 
-def grid_shape(left: DataFrame, right: DataFrame) -> Shape:
-    """Cells twice as wide as the median envelope, as far as a power of STEP tells it; where that is a point, as wide as leaves one row to a cell if rows were spread evenly."""
-    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    places = [F.col(c) for c in ENVELOPE]
-    both = left.select(width.alias("w"), *places).unionAll(right.select(width.alias("w"), *places)).where("w >= 0 and w < double('infinity')")
-    power = F.when(F.col("w") > 0, F.ceil(F.log("w") / F.log(F.lit(float(STEP)))))
-    found = both.groupBy(power.alias("power")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.min("xmin").alias("x1"), F.max("xmax").alias("x2"), F.min("ymin").alias("y1"), F.max("ymax").alias("y2")).collect()  # a row for each power of STEP
-    if not found:
-        return Shape(1.0, [])
-    found.sort(key=lambda r: r.most)
-    n = sum(r.n for r in found)
-    below, median = 0, found[0]
-    for r in found:
-        median, below = r, below + r.n
-        if 2 * below >= n:
-            break
-    cell = 2.0 * median.w / median.n
-    if not cell:
-        x, y = (max(r[high] for r in found) - min(r[low] for r in found) for low, high in (("x1", "x2"), ("y1", "y2")))
-        cell = math.sqrt(x * y / n) or max(x, y) / n or 1.0
-    broad, rest = None, 0
-    for r in reversed(found):
-        rest += r.n
-        if rest > BROAD or level_of(r.least, cell) < 2:
-            break
-        broad = r.least
-    # those between the least and the most of each power of STEP, which are next to each other
-    levels = {x for r in found if broad is None or r.least < broad for x in range(level_of(r.least, cell), level_of(r.most, cell) + 1)}
-    return Shape(cell, sorted(levels), broad)
+def plain_side(layer: DataFrame, prefix: str) -> DataFrame:
+    """The layer's plain columns under a prefix, rows without an envelope left out."""
+    return layer.where(KNOWN).selectExpr(*[f"`{f.name}` as `{prefix}{f.name}`" for f in layer.schema if is_plain(f)])
 
 
-def level_of(width: float, cell: float) -> int:
-    return min(MAX_LEVEL, max(0, math.ceil(math.log(max(width / cell, 1.0)) / math.log(STEP) - 1e-9)))
+MEET = "left_xmin <= right_xmax and right_xmin <= left_xmax and left_ymin <= right_ymax and right_ymin <= left_ymax"
 
 
-def _level(prefix: str, cell: float) -> Column:
-    level = F.ceil(F.log(F.greatest(_width(prefix) / cell, F.lit(1.0))) / F.log(F.lit(float(STEP))) - 1e-9)
-    return F.least(F.lit(MAX_LEVEL), level).cast("int")
+def _grid_pairs(a: DataFrame, b: DataFrame, shape: grid.Shape | None, same_pid: bool) -> DataFrame:
+    meet = f"{MEET} and left_pid = right_pid" if same_pid else MEET
+    if shape is None:
+        return a.join(b, F.lit(False))
+    parts = []
+    if shape.broad is not None:
+        wide = {p: f"{grid.width(p)} >= double('{shape.broad!r}')" for p in ("left_", "right_")}
+        parts = [F.broadcast(a.where(wide["left_"])).join(b, F.expr(meet)), a.where(f"not ({wide['left_']})").join(F.broadcast(b.where(wide["right_"])), F.expr(meet))]  # at most BROAD rows of plain columns
+        a, b = a.where(f"not ({wide['left_']})"), b.where(f"not ({wide['right_']})")
+    left, right = grid.listed(a, "left_", "left", shape), grid.listed(b, "right_", "right", shape)
+    keys = ["__level", "__cx", "__cy"]
+    if same_pid:
+        left, right = left.withColumn("__pid", F.col("left_pid")), right.withColumn("__pid", F.col("right_pid"))
+        keys = ["__pid", *keys]
+    near = left.join(right, keys).where(MEET).where(grid.met_once(shape)).drop(*keys, "__left_level", "__right_level")
+    for x in parts:
+        near = near.unionByName(x)
+    return near
 
 
-def _cell(value: Column, level: Column, cell: float) -> Column:
-    return F.floor(value / (F.lit(cell) * F.pow(F.lit(float(STEP)), level.cast("double")))).cast("long")
+def _measured(side: DataFrame) -> int:
+    """Bytes of a side of plain columns, at most; null flags and decimals included."""
+    return side.count() * sum(max(9, f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 17) for f in side.schema)
 
 
-def _listed(side: DataFrame, prefix: str, levels: list[int], cell: float) -> DataFrame:
-    """Rows with their level, once for each cell at each occurring level from their own up."""
-    own = side.withColumn(f"__{prefix}level", _level(prefix, cell))
-    at = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col(f"__{prefix}level"))
-    rows = own.withColumn("__level", F.explode(at))
-    for axis in "xy":
-        low, high = (_cell(F.col(f"{prefix}{axis}{end}"), F.col("__level"), cell) for end in ("min", "max"))
-        rows = rows.withColumn(f"__c{axis}", F.explode(F.sequence(low, high)))
-    return rows
+def _tree_pairs(a: DataFrame, b: DataFrame) -> DataFrame | None:
+    """Pairs by a tree of the smaller side; None where it measures too much."""
+    size_a, size_b = _measured(a), _measured(b)
+    small, large, flip = (a, b, False) if size_a <= size_b else (b, a, True)
+    if min(size_a, size_b) > TREE_BYTES:
+        return None
+    names = {"left_": a.columns, "right_": b.columns}
+    inner, outer = ("right_", "left_") if flip else ("left_", "right_")
+    held = small.toArrow().combine_chunks()  # at most TREE_BYTES
+    boxes = np.column_stack([held.column(f"{inner}{c}").to_numpy(zero_copy_only=False) for c in ENVELOPE]) if held.num_rows else np.zeros((0, 4))
+    tree = PackedTree(boxes)
+    shared = a.sparkSession.sparkContext.broadcast((tree, held))
+    schema = T.StructType([*a.schema.fields, *b.schema.fields])
+    wanted = [*names["left_"], *names["right_"]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held = shared.value
+        for batch in batches:
+            boxes = np.column_stack([batch.column(batch.schema.get_field_index(f"{outer}{c}")).to_numpy(zero_copy_only=False) for c in ENVELOPE])
+            for mine, theirs in tree.probe(boxes):
+                for lo in range(0, len(mine), 1 << 16):
+                    own, other = batch.take(pa.array(mine[lo : lo + (1 << 16)])), held.take(pa.array(theirs[lo : lo + (1 << 16)]))
+                    columns = {**dict(zip(batch.schema.names, own.columns, strict=True)), **{c: other.column(c).combine_chunks() for c in held.column_names}}
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in wanted], wanted)
 
-def _width(prefix: str) -> Column:
-    return F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
+    return large.mapInArrow(run, schema)
 
 
-def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, levels: list[int] | None = None) -> DataFrame:
-    """Every pair of rows whose envelopes intersect, columns prefixed with ``left_`` and ``right_``.
+def candidate_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None, shape: grid.Shape | None = None) -> DataFrame:
+    """Every pair of rows whose envelopes intersect, with both layers' plain columns, prefixed with ``left_`` and ``right_``.
 
-    ``cell`` is the width of the lowest cells, and ``levels`` those that may occur; both are found from the layers if not given.
+    ``cell`` is the width of the grid's lowest cells and ``shape`` all of the grid; both are found from the layers if not given.
     """
-    a, b = _side(left, "left_"), _side(right, "right_")
+    a, b = plain_side(left, "left_"), plain_side(right, "right_")
     if strategy == "nested":
-        return a.join(b, envelopes_meet())
-    within = []
-    if strategy == "partitioned":
-        a, b = a.withColumn("__pid", F.col("left_pid")), b.withColumn("__pid", F.col("right_pid"))
-        within = ["__pid"]
-    if cell is not None and levels is not None:
-        shape = Shape(cell, levels)
-    else:
-        shape = grid_shape(left, right)
-        if cell is not None:  # levels are of the shape's own cells
-            shape = Shape(cell, list(range(level_of(shape.cell * STEP ** max(shape.levels, default=0), cell) + 1)) if shape.levels else [], shape.broad)
-    parts = []
-    if shape.broad is not None:
-        wide_a, wide_b = _width("left_") >= shape.broad, _width("right_") >= shape.broad
-        meet = envelopes_meet() & (F.col("left_pid") == F.col("right_pid")) if within else envelopes_meet()
-        parts = [F.broadcast(a.where(wide_a)).join(b, meet), a.where(~wide_a).join(F.broadcast(b.where(wide_b)), meet)]  # at most BROAD rows
-        parts = [x.drop("__pid") for x in parts]
-        a, b = a.where(~wide_a), b.where(~wide_b)
-    if not shape.levels:
-        near = a.join(b, F.lit(False)).drop("__pid")
-    else:
-        met = _listed(a, "left_", shape.levels, shape.cell).join(_listed(b, "right_", shape.levels, shape.cell), [*within, "__level", "__cx", "__cy"]).where(envelopes_meet())
-        once = F.col("__level") == F.greatest("__left_level", "__right_level")
-        for axis in "xy":
-            once &= F.col(f"__c{axis}") == _cell(F.greatest(f"left_{axis}min", f"right_{axis}min"), F.col("__level"), shape.cell)
-        near = met.where(once).drop(*within, "__level", "__cx", "__cy", "__left_level", "__right_level")
-    for x in parts:
-        near = near.unionByName(x)
-    return near
+        return a.join(b, F.expr(MEET))
+    if strategy == "blocks":
+        return block_join(a, b, F.expr(MEET))
+    if strategy == "tree":
+        found = _tree_pairs(a, b)
+        if found is not None:
+            return found
+    if shape is None:
+        bare = lambda side, p: side.selectExpr(*[f"{p}{c} as {c}" for c in ENVELOPE])
+        shape = grid.find(bare(a, "left_"), bare(b, "right_"), cell)
+    pairs = _grid_pairs(a, b, shape, strategy == "partitioned")
+    return met_in_own(pairs, regions) if regions is not None and strategy == "partitioned" else pairs
+
+
+def envelope_join(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
+    """Candidate pairs with all columns of both layers. A layer with heavy columns that isn't numbered is written first, see ``fetch.numbered``."""
+    left, right = (layer if all(map(is_plain, layer.schema)) else numbered(layer) for layer in (left, right))
+    pairs = candidate_pairs(left, right, strategy, cell, regions)
+    order = [f"{p}{c}" for p, layer in (("left_", left), ("right_", right)) for c in layer.columns if c != ROW]
+    return fetched(pairs, left, right).select(*[F.col(f"`{c}`") for c in order])

@@ -1,4 +1,4 @@
-"""Joins of two layers by exact geometry: envelope candidates, then refinement. A pair that cannot be computed is skipped."""
+"""Joins of two layers by exact geometry: envelope candidates on plain columns, then refinement run by run. A pair that cannot be computed is skipped."""
 
 from __future__ import annotations
 
@@ -6,20 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
-from tessera.operators.envelope_join import Strategy, envelope_join
+from tessera.operators.envelope_join import Strategy, candidate_pairs
+from tessera.operators.fetch import ROW, each_pair, numbered, runs
+from tessera.operators.regions import Regions
 
 
-def candidates(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None) -> DataFrame:
+def candidate_runs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
+    """Candidates as runs of a right row and some of its left ones, with their geometries; see ``fetch.runs``."""
     register(left.sparkSession)
-    return envelope_join(left, right, strategy, cell)
+    left, right = numbered(left), numbered(right)
+    return runs(candidate_pairs(left, right, strategy, cell, regions), left, right)
 
 
-def intersecting_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None) -> DataFrame:
-    """Pairs whose geometries intersect."""
-    return candidates(left, right, strategy, cell).where(call("st_intersects", "left_geom", "right_geom"))
+def refine(found: DataFrame, function: str, result: str) -> DataFrame:
+    """The pairs of runs with ``result``, a function of a run's left geometries and its right one, which is computed once for each run."""
+    return each_pair(found.withColumn(result, call(function, F.col("lefts.left_geom"), F.col("right_geom"))), result)
 
 
-def intersections(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, keep_empty: bool = True) -> DataFrame:
-    """All candidates with what their geometries share, ``geom``; an empty result is a row unless ``keep_empty`` is False."""
-    out = candidates(left, right, strategy, cell).withColumn("geom", call("st_intersection", "left_geom", "right_geom")).where("geom is not null")
-    return out if keep_empty else out.where(call("st_npoints", "geom") > 0)
+def _without_rows(pairs: DataFrame) -> DataFrame:
+    return pairs.drop(f"left_{ROW}", f"right_{ROW}")
+
+
+def intersecting_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
+    """Pairs whose geometries intersect, with both layers' columns."""
+    pairs = refine(candidate_runs(left, right, strategy, cell, regions), "st_intersects_each", "__met")
+    return _without_rows(pairs.where("__met").drop("__met"))
+
+
+def intersections(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, keep_empty: bool = True, regions: Regions | None = None) -> DataFrame:
+    """All candidates with what their geometries share: ``geom``, ``geom_type``, ``n_points`` and its envelope; an empty result is a row unless ``keep_empty`` is False."""
+    pairs = refine(candidate_runs(left, right, strategy, cell, regions), "st_intersection_each", "__shared").where("__shared is not null")
+    out = _without_rows(pairs).select("*", "__shared.*").drop("__shared")
+    return out if keep_empty else out.where("n_points > 0")

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call
 from tessera.operators.envelope_join import Strategy
-from tessera.operators.spatial_join import candidates
+from tessera.operators.regions import Regions
+from tessera.operators.spatial_join import candidate_runs
 
 Measure = Literal["intersection_points", "intersects", "union_points", "nonempty"]
-_FUNCTION = {"intersection_points": "st_intersection_npoints", "intersects": "st_intersects", "union_points": "st_union_npoints", "nonempty": "st_intersection_npoints"}
+_FUNCTION = {"intersection_points": "st_intersection_npoints_each", "intersects": "st_intersects_each", "union_points": "st_union_npoints_each", "nonempty": "st_intersection_npoints_each"}
 
 
-def measure(left: DataFrame, right: DataFrame, what: Measure = "intersection_points", strategy: Strategy = "grid", cell: float | None = None) -> DataFrame:
+def measure(left: DataFrame, right: DataFrame, what: Measure = "intersection_points", strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
     """One row: ``value`` and ``skipped``, both long."""
-    each = candidates(left, right, strategy, cell).select(call(_FUNCTION[what], "left_geom", "right_geom").alias("m"))
+    each = candidate_runs(left, right, strategy, cell, regions).select(F.explode(call(_FUNCTION[what], F.col("lefts.left_geom"), F.col("right_geom"))).alias("m"))
     m = F.col("m")
-    value = {"intersects": m.cast("long"), "nonempty": (m > 0).cast("long")}.get(what, m.cast("long"))
+    value = (m > 0).cast("long") if what == "nonempty" else m.cast("long")
     return each.agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"), F.count_if(m.isNull()).alias("skipped"))

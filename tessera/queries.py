@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
-from tessera.operators.envelope_join import envelope_join
+from tessera.operators.envelope_join import Strategy, candidate_pairs
+from tessera.operators.regions import Regions, find_regions, write_partitions
 from tessera.operators.spatial_join import intersecting_pairs, intersections
 from tessera.plans.measures import measure
 from tessera.scratch import Scratch
@@ -40,8 +42,10 @@ def layer(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both layers, parsed once and stored."""
-    return stored(layer(spark, sf_dir, "a")), stored(layer(spark, sf_dir, "b"))
+    """Both layers, parsed once and stored, side by side."""
+    parsed = [layer(spark, sf_dir, which) for which in "ab"]
+    with ThreadPoolExecutor(2) as pool:
+        return tuple(pool.map(stored, parsed))
 
 
 def _lines(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -107,7 +111,34 @@ def join_shapes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelope_join(*_layers(spark, sf_dir)).select("left_id", "right_id")
+    return candidate_pairs(*_layers(spark, sf_dir)).select("left_id", "right_id")
+
+
+def _candidates(strategy: Strategy) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: candidate_pairs(*_layers(spark, sf_dir), strategy).select("left_id", "right_id")
+
+
+def _in_regions(spark: SparkSession, sf_dir: str, parts: int, weight: str | None = None) -> tuple[DataFrame, DataFrame, Regions]:
+    """Both layers written in regions' partitions, and read again."""
+    layers = [layer.withColumnRenamed("pid", "weight") for layer in _layers(spark, sf_dir)]
+    regions = find_regions(layers, parts, weight)
+    paths = [Scratch(spark).folder(keep=True) for _ in layers]
+    for layer, path in zip(layers, paths, strict=True):
+        write_partitions(layer, regions, path)
+    a, b = (spark.read.parquet(path) for path in paths)
+    return a, b, regions
+
+
+def join_regions_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers written in 16 regions of about as many rows, joined within equal regions."""
+    a, b, regions = _in_regions(spark, sf_dir, 16)
+    return measure(a, b, "intersection_points", "partitioned", regions=regions)
+
+
+def join_weighted_regions_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the rows' weight, as numbers that come with envelopes say it."""
+    a, b, regions = _in_regions(spark, sf_dir, 9, "weight")
+    return intersecting_pairs(a, b, "partitioned", regions=regions).select("left_id", "right_id")
 
 
 def join_intersects_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +146,7 @@ def join_intersects_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_intersection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = intersections(*_layers(spark, sf_dir)).withColumn("bounds", call("st_envelope", "geom"))
-    bounds = [F.col("bounds")[i].alias(c) for i, c in enumerate(("xmin", "ymin", "xmax", "ymax"))]
-    return found.select("left_id", "right_id", call("st_geometrytype", "geom").alias("geom_type"), call("st_npoints", "geom").alias("n_points"), *bounds)
+    return intersections(*_layers(spark, sf_dir)).select("left_id", "right_id", "geom_type", "n_points", "xmin", "ymin", "xmax", "ymax")
 
 
 def _measured(what: str, strategy: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -182,6 +211,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_wkb_hex_files": read_wkb_hex_files,
     "join_partition_files_points": join_partition_files_points,
     "join_shapes_pairs": join_shapes_pairs,
+    "join_tree_pairs": _candidates("tree"),
+    "join_blocks_pairs": _candidates("blocks"),
+    "join_tree_points": _measured("intersection_points", "tree"),
+    "join_regions_points": join_regions_points,
+    "join_weighted_regions_pairs": join_weighted_regions_pairs,
 }
 
 _PAIRS = f"""WITH a AS (SELECT id AS left_id, pid AS apid, x1 AS ax1, x1 + w AS ax2, y1 AS ay1, y1 + h AS ay2 FROM ({LAYER_A})),
@@ -208,6 +242,11 @@ ORACLES: dict[str, str] = {
     "join_intersection_rows": _PAIRS + """SELECT left_id, right_id, CASE np_i WHEN 1 THEN 'Point' WHEN 2 THEN 'LineString' ELSE 'Polygon' END AS geom_type, np_i AS n_points,
         CAST(greatest(ax1, bx1) AS DOUBLE) AS xmin, CAST(greatest(ay1, by1) AS DOUBLE) AS ymin, CAST(least(ax2, bx2) AS DOUBLE) AS xmax, CAST(least(ay2, by2) AS DOUBLE) AS ymax FROM pairs""",
     "join_intersection_points": _total("np_i"),
+    "join_tree_pairs": _PAIRS + "SELECT left_id, right_id FROM pairs",
+    "join_blocks_pairs": _PAIRS + "SELECT left_id, right_id FROM pairs",
+    "join_tree_points": _total("np_i"),
+    "join_regions_points": _total("np_i"),
+    "join_weighted_regions_pairs": _PAIRS + "SELECT left_id, right_id FROM pairs",
     "join_intersects_count": _total("1"),
     "join_union_points": _total("np_u"),
     "join_nonempty_count": _total("1"),

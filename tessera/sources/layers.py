@@ -1,6 +1,6 @@
 """Layers: tables of geometries read from text.
 
-A layer has ``id`` (long), ``geom`` (WKB), ``geom_type``, and its envelope ``xmin, ymin, xmax, ymax``, computed once here; a partitioned layer
+A layer has ``id`` (long), ``geom`` (WKB), ``geom_type``, its number of ``points``, and its envelope ``xmin, ymin, xmax, ymax``, computed once here; a partitioned layer
 also ``pid``. Lines of at most ``SHORTEST`` bytes and lines that don't parse are skipped. Collections are flattened by one level, multipoints
 aren't; an empty geometry stays, with a null envelope, and is never a candidate of a join.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
-from tessera.scratch import Scratch
+from tessera.operators.fetch import numbered
 
 # What must equal the behaviour to be matched.
 SHORTEST = 5
@@ -23,12 +23,12 @@ Validate = Literal["always", "never", "auto"]
 
 
 READERS = {"st_geomfromtext": "st_layerfromtext", "st_geomfromwkbhex": "st_layerfromwkbhex"}
-COLUMNS = ("part", "geom", "geom_type", "xmin", "ymin", "xmax", "ymax")
+COLUMNS = ("part", "geom", "geom_type", "points", "xmin", "ymin", "xmax", "ymax")
 
 
 def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Adds geom_type and the envelope's four columns to a table of geometries."""
-    bounds = df.withColumn("__bounds", call("st_envelope", geom)).withColumn("geom_type", call("st_geometrytype", geom))
+    """Adds geom_type, points and the envelope's four columns to a table of geometries."""
+    bounds = df.withColumn("__bounds", call("st_envelope", geom)).withColumn("geom_type", call("st_geometrytype", geom)).withColumn("points", call("st_npoints", geom))
     return bounds.select("*", *[F.col("__bounds")[i].alias(c) for i, c in enumerate(("xmin", "ymin", "xmax", "ymax"))]).drop("__bounds")
 
 
@@ -50,8 +50,8 @@ def parse_lines(lines: DataFrame, value: str = "value", parser: str = "st_geomfr
 
 
 def stored(layer: DataFrame) -> DataFrame:
-    """The layer, written to the shared folder and read again: whatever reads it afterwards parses nothing."""
-    return Scratch(layer.sparkSession).table(layer, keep=True)
+    """The layer, its rows numbered, written to the shared folder and read again: whatever reads it afterwards parses nothing."""
+    return numbered(layer)
 
 
 def read_wkt(spark: SparkSession, path: str, validate: Validate = "always") -> DataFrame:
@@ -80,14 +80,13 @@ def _numbers(value: Column) -> Column:
 
 
 def parse_envelopes(lines: DataFrame, value: str = "value", weighted: bool = False) -> DataFrame:
-    """Envelopes of lines ``x1 x2 y1 y2`` and, ``weighted``, a whole number; other columns are kept, other lines skipped."""
-    n = _numbers(F.col(value))
-    names = ["xmin", "xmax", "ymin", "ymax"]
-    out = lines.withColumn("__n", n).where(F.size("__n") == (5 if weighted else 4))
-    columns = [F.expr(f"try_cast(__n[{i}] as double)").alias(c) for i, c in enumerate(names)]
-    columns += [F.expr("try_cast(__n[4] as int)").alias("weight")] if weighted else []
-    parsed = out.select(*[c for c in lines.columns if c != value], *columns)
-    return parsed.dropna(subset=[*names, *(["weight"] if weighted else [])])
+    """Envelopes of lines ``x1 x2 y1 y2``, in either order of each two, and, ``weighted``, a whole number; other columns are kept, other lines skipped."""
+    given = ["x1", "x2", "y1", "y2", *(["weight"] if weighted else [])]
+    others = [F.col(f"`{c}`") for c in lines.columns if c not in (value, *given)]
+    split = lines.withColumn("__n", _numbers(F.col(value))).where(F.size("__n") == len(given))
+    read = split.select(*others, *[F.expr(f"try_cast(__n[{i}] as {'int' if c == 'weight' else 'double'})").alias(f"__{c}") for i, c in enumerate(given)])
+    bounds = [f(f"__{a}1", f"__{a}2").alias(f"{a}{end}") for a in "xy" for f, end in ((F.least, "min"), (F.greatest, "max"))]
+    return read.dropna(subset=[f"__{c}" for c in given]).select(*others, *bounds, *([F.col("__weight").alias("weight")] if weighted else []))
 
 
 def read_envelopes(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
-from tessera.operators.envelope_join import envelope_join
-from tessera.operators.spatial_join import intersecting_pairs, intersections
+from tessera.operators.envelope_join import candidate_pairs, envelope_join
+
+from tessera.operators.spatial_join import candidate_runs, intersecting_pairs, intersections, refine
 from tessera.plans.measures import measure
 from tessera.sources import layers
 
@@ -36,19 +37,29 @@ def layer(spark, *texts, validate="never"):
     return layers.parse_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, value string"), validate=validate)
 
 
-@pytest.mark.parametrize("name", PAIRS)
-def test_pair(spark, name):
-    left, right, meet, intersect, shared, united = PAIRS[name]
-    a, b = layer(spark, left), layer(spark, right)
-    assert envelope_join(a, b).count() == envelope_join(a, b, "nested").count() == meet
-    assert intersecting_pairs(a, b).count() == intersect
-    assert measure(a, b, "intersection_points").first().value == (shared if meet else 0)
-    assert measure(a, b, "union_points").first().value == (united if meet else 0)
-    assert measure(a, b, "nonempty").first().value == (shared > 0)
-    assert intersections(a, b).count() == meet
-    assert intersections(a, b, keep_empty=False).count() == intersect
-    both = a.select(F.col("geom").alias("l")).join(b.select(F.col("geom").alias("r")))
-    assert both.select(call("st_npoints", call("st_union", "l", "r"))).first()[0] == united
+def numbered_pairs(spark, side):
+    """One side of all pairs in a layer, each in a partition of its own."""
+    lines = spark.createDataFrame([(i, i, pair[side]) for i, pair in enumerate(PAIRS.values())], "id long, pid int, value string")
+    return layers.stored(layers.parse_lines(lines, validate="never"))
+
+
+def test_pairs(spark):
+    a, b = numbered_pairs(spark, 0), numbered_pairs(spark, 1)
+    met = {i for i, pair in enumerate(PAIRS.values()) if pair[2]}
+    points = {i: pair[4] for i, pair in enumerate(PAIRS.values())}
+    assert {r.left_pid for r in envelope_join(a, b, "partitioned").collect()} == met
+    assert {r.left_id for r in envelope_join(a, b, "nested").where("left_id = right_id").collect()} == met
+    assert {r.left_pid for r in intersecting_pairs(a, b, "partitioned").collect()} == {i for i, pair in enumerate(PAIRS.values()) if pair[3]}
+    shared = {r.left_pid: r.n_points for r in intersections(a, b, "partitioned").collect()}
+    assert shared == {i: points[i] for i in met}
+    assert {r.left_pid for r in intersections(a, b, "partitioned", keep_empty=False).collect()} == {i for i in met if points[i]}
+    assert measure(a, b, "intersection_points", "partitioned").first().value == sum(points[i] for i in met)
+    assert measure(a, b, "union_points", "partitioned").first().value == sum(pair[5] for pair in PAIRS.values() if pair[2])
+    assert measure(a, b, "nonempty", "partitioned").first().value == sum(points[i] > 0 for i in met)
+    assert measure(a, b, "intersects", "partitioned").first().value == sum(pair[3] for pair in PAIRS.values())
+    both = a.select("id", F.col("geom").alias("l")).join(b.select("id", F.col("geom").alias("r")), "id")
+    computed = both.select("id", call("st_npoints", call("st_union", "l", "r")), call("st_intersects", "l", "r"), call("st_npoints", call("st_intersection", "l", "r"))).collect()
+    assert {tuple(r) for r in computed} == {(i, pair[5], pair[3], pair[4]) for i, pair in enumerate(PAIRS.values())}
 
 
 def test_failed_pair_is_skipped(spark):
@@ -107,3 +118,50 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.table("probed").collect()) == [(1.0, 0), (1.0, 1)]
+
+
+def preparations(spark):
+    register(spark)
+    return spark.range(1).select(call("st_preparations", "id")).first()[0]
+
+
+def test_geometries_stay_out_of_the_cells(spark):
+    a, b = layers.stored(layer(spark, S, SMALL, NINE)), layers.stored(layer(spark, NINE, S))
+    pairs = candidate_pairs(a, b)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("geom#" in line for line in plan.splitlines() if "Relation" not in line)
+    plan = intersections(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("st_intersection_each(") == 1
+    assert candidate_runs(a, b).count() == 2
+
+
+def test_a_right_geometry_is_prepared_once_a_run(spark):
+    many = layers.stored(layer(spark, *[f"POINT({i % 9} {i % 7})" for i in range(400)]))
+    few = layers.stored(layer(spark, NINE, "POLYGON((-1 -1,12 -1,12 12,-1 12,-1 -1))", S))
+    n = candidate_runs(many, few).count()
+    before = preparations(spark)
+    met = intersecting_pairs(many, few).count()
+    assert met == 400 + 400 + sum(i % 9 <= 4 and i % 7 <= 4 for i in range(400))
+    assert 3 <= preparations(spark) - before <= n
+    assert refine(candidate_runs(many, few), "st_intersects_each", "met").count() == met
+
+
+def test_runs_have_a_share_of_the_cost(spark, monkeypatch):
+    from tessera.operators import fetch
+
+    monkeypatch.setattr(fetch, "RUN_COST", 1)
+    ring = ",".join(f"{x} {y}" for x, y in [(i / 10, 0) for i in range(5000)] + [(500, 5), (0, 5), (0, 0)])
+    heavy = layers.stored(layer(spark, f"POLYGON(({ring}))", *[S] * 20))
+    many = layers.stored(layer(spark, *[f"POINT({i % 400} 1)" for i in range(3000)]))
+    found = candidate_pairs(many, heavy)
+    cut = fetch.cut(found, tasks=8)
+    total = cut.agg(F.sum("__cost")).first()[0]
+    runs = cut.groupBy(fetch.RIGHT_ROW, "__cut").agg(F.sum("__cost").alias("cost"), F.count("*").alias("n"))
+    most = runs.agg(F.max("cost"), F.sum("n"), F.max("n")).first()
+    largest = cut.agg(F.max("__cost")).first()[0]
+    assert most[0] <= 2 * total / (8 * fetch.RUNS_A_TASK) + largest
+    assert most[1] == found.count() and most[2] <= 2 * fetch.RUN_PAIRS
+    monkeypatch.setattr(fetch, "RUN_COST", 1 << 20)
+    monkeypatch.setattr(fetch, "RUN_PAIRS", 3)
+    assert fetch.cut(found, 8).groupBy(fetch.RIGHT_ROW, "__cut").count().agg(F.avg("count")).first()[0] <= 3.2
+    assert intersecting_pairs(many, heavy).count() == intersecting_pairs(many, heavy, "nested").count() == 3000 + 20 * sum(i % 400 <= 4 for i in range(3000))
