@@ -7,7 +7,9 @@ diagonal matrix, add up to a context h = c1 * r(u1) + c2 * r(u2), and class w af
 
 Training is in numpy, by mini-batches with ``NOISE`` noise classes each, drawn from the unigram distribution and shared by the batch, so that scores and
 gradients are products of matrices. It starts on the driver, on the texts of at most ``WARM_ROWS`` training rows (those of smallest hash). From
-there every task goes through all its training rows once, and the models of the tasks are averaged by their numbers of tokens. Word counts are gathered from all training rows too
+there all training rows are dealt by a hash of id and text to shards, as many as ``SHARD_TOKENS`` tokens each take; a copy of the model goes through each shard's rows once, in the order of
+another hash, and the copies are averaged by their numbers of tokens. So scores don't depend on how rows lie in partitions (but for the order in which floats are added up). What is dealt are classes,
+two bytes a word. Word counts are gathered from all training rows too
 (a distributed table, never collected). The model's size is fixed by ``WORDS``, ``CLASSES`` and ``DIMENSIONS``; larger ones cost CLASSES ** 2 normalisers.
 
 The exact normaliser of every context, a pair of classes, is found once by batched products of all context and class vectors, dealt over the cluster: a table
@@ -44,6 +46,7 @@ BUCKETS = CLASSES - FIRST_WORD - WORDS
 FREQUENT = 1 << 19
 DIMENSIONS, NOISE, BATCH, RATE = 24, 64, 1024, 0.15
 WARM_ROWS, WARM_EPOCHS = 2000, 4
+SHARD_TOKENS = 1 << 23
 _HISTOGRAM = 1 << 12
 
 
@@ -65,16 +68,15 @@ class Vocabulary:
         return np.where(known, FIRST_WORD + at, FIRST_WORD + WORDS + buckets)
 
 
-def with_ends(s: Slice, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of the slice's documents with their ends: class, class before, class two before, document."""
-    n = s.counts()
-    total = len(classes) + s.n_docs
+def with_ends(n: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of documents of ``n`` words each, with their ends: class, class before, class two before, document."""
+    total = len(classes) + len(n)
     ends = np.cumsum(n + 1) - 1
     token = np.full(total, END)
     is_word = np.ones(total, bool)
     is_word[ends] = False
     token[is_word] = classes
-    doc = np.repeat(np.arange(s.n_docs), n + 1)
+    doc = np.repeat(np.arange(len(n)), n + 1)
     first = ends - n
     one, two = np.empty_like(token), np.empty_like(token)
     one[1:], two[2:] = token[:-1], token[:-2]
@@ -195,11 +197,27 @@ def class_counts(counts: DataFrame, buckets: np.ndarray, n: np.ndarray, n_end: i
 
 def tokens_of(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for s in slices(texts):
-        yield with_ends(s, vocabulary.classes(s.hashes(), bucket(s)))
+        yield with_ends(s.counts(), vocabulary.classes(s.hashes(), bucket(s)))
+
+
+def classes_of(training: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """(shard, place, classes): each training row's classes, two bytes each, in order."""
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(0)):
+                classes = shared.value.classes(s.hashes(), bucket(s)).astype("<u2")
+                ends = np.cumsum(s.counts())
+                own = pa.array([classes[i:j].tobytes() for i, j in zip((ends - s.counts()).tolist(), ends.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(s.first, s.n_docs) for i in (1, 2)), own], ["shard", "place", "classes"])
+
+    row = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("text", "doc_id").alias("place"))
+    return row.mapInArrow(run, "shard int, place long, classes binary")
 
 
-def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray) -> LogBilinear:
-    """The model of all training rows."""
+def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray, n_tokens: int, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """The model of all training rows (doc_id, text), which have ``n_tokens``."""
     unigram = tokens + 0.5
     unigram[START] = 1e-3
     model = LogBilinear(unigram / unigram.sum())
@@ -209,34 +227,51 @@ def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray) ->
         warm = [np.concatenate(x) for x in zip(*tokens_of(sample.column("text"), vocabulary))][:3]
         for epoch in range(WARM_EPOCHS):
             model.train(*warm, rng, RATE * (1 - epoch / (WARM_EPOCHS + 1)))
-    shared = training.sparkSession.sparkContext.broadcast((vocabulary, model))  # of fixed size
+    shared = training.sparkSession.sparkContext.broadcast(model)  # of fixed size
     size = len(model.values) + 1
     padded = -(-size // BLOCK) * BLOCK
+    shards = max(1, -(-n_tokens // shard_tokens))
+
+    class Shard:
+        def __init__(self, number: int):
+            self.number, self.model, self.noise = number, copy.deepcopy(shared.value), np.random.default_rng(number)
+            self.n = self.size = 0
+            self.held: list[bytes] = []
+
+        def add(self, classes: bytes) -> None:
+            self.held.append(classes)
+            self.size += len(classes) // 2 + 1
+            if self.size > 1 << 18:
+                self.step()
+
+        def step(self) -> None:
+            if self.held:
+                n = np.array([len(x) // 2 for x in self.held])
+                self.model.train(*with_ends(n, np.frombuffer(b"".join(self.held), "<u2").astype(np.int64))[:3], self.noise, RATE)
+                self.n, self.held, self.size = self.n + self.size, [], 0
+
+        def sent(self) -> pa.RecordBatch:
+            self.step()
+            out = np.zeros(padded)
+            out[: size - 1] = self.model.values.astype(np.float64) * self.n
+            out[size - 1] = self.n
+            numbers, content = blocks(out)
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["block", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        own = copy.deepcopy(start)
-        noise = np.random.default_rng(TaskContext.get().partitionId())
-        n = 0
-        held: list[tuple[np.ndarray, ...]] = []
-        size_held = 0
+        shard: Shard | None = None
         for b in batches:
-            for token, one, two, _ in tokens_of(b.column(0), known):
-                held.append((token, one, two))
-                size_held += len(token)
-                if size_held > 1 << 18:
-                    own.train(*(np.concatenate(x) for x in zip(*held)), noise, RATE)
-                    n, held, size_held = n + size_held, [], 0
-        if held:
-            own.train(*(np.concatenate(x) for x in zip(*held)), noise, RATE)
-            n += size_held
-        sent = np.zeros(padded)
-        sent[: size - 1] = own.values.astype(np.float64) * n
-        sent[size - 1] = n
-        numbers, content = blocks(sent)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["block", "content"])
-
-    total = combined(training.mapInArrow(run, "block int, content binary"), padded, "float64", "sum")
+            for number, classes in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if shard is None or shard.number != number:
+                    if shard is not None:
+                        yield shard.sent()
+                    shard = Shard(number)
+                shard.add(classes)
+        if shard is not None:
+            yield shard.sent()
+
+    dealt = classes_of(training, vocabulary, shards).repartition("shard").sortWithinPartitions("shard", "place")
+    total = combined(dealt.mapInArrow(run, "block int, content binary"), padded, "float64", "sum")
     if total[size - 1]:
         model.values = (total[: size - 1] / total[size - 1]).astype(np.float32)
     return model
@@ -289,13 +324,13 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
     return h[order], rows.column("bucket").to_numpy()[order], rows.column("n").to_numpy()[order]
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the other folds."""
     spark = docs.sparkSession
     every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (fold(id_col, folds) == held_fold).alias("held_out"))
-    training = every.where("not held_out").select("text")
+    training = every.where("not held_out").select("doc_id", "text")
     s = Scratch(spark)
-    counts = s.table(word_counts(training), keep=True)
+    counts = s.table(word_counts(training.select("text")), keep=True)
     n_end = training.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_distinct = whole["n"] + n_end, whole["v"] + (n_end > 0)
@@ -303,7 +338,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str
     top = np.sort(np.lexsort((h, -n))[:WORDS])
     vocabulary = Vocabulary(h[top])
     tokens, sizes = class_counts(counts, b[top], n[top], n_end)
-    model = trained(training, vocabulary, tokens)
+    model = trained(training, vocabulary, tokens, n_all, shard_tokens)
     scorer = spark.sparkContext.broadcast(Scorer(vocabulary, model, normalisers_of(spark, model), h, np.log10(n + 1.0), np.log10(sizes + 1.0), n_end))  # at most FREQUENT * 16 bytes, the model and its normalisers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +363,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str
 def scored(x: Scorer, s: Slice, rows: pa.RecordBatch, tag: int) -> pa.RecordBatch:
     h, buckets = s.hashes(), bucket(s)
     classes = x.vocabulary.classes(h, buckets)
-    token, one, two, doc = with_ends(s, classes)
+    token, one, two, doc = with_ends(s.counts(), classes)
     lm = np.bincount(doc, x.model.log_probability(token, one, two, x.normalisers) / np.log(10), s.n_docs)
     at = np.searchsorted(x.frequent, h)
     at[at == len(x.frequent)] = 0

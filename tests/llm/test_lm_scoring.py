@@ -79,3 +79,12 @@ def test_nothing_to_learn_from(frame):
     row = x.score_texts(frame([(held, "a b")])).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert row.score < 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = corpus()
+    made = [{(r.doc_id, r.n_tokens, r.n_known): r.score for r in x.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), shard_tokens=2000).collect()} for n in (1, 4, 16)]
+    for other in made[1:]:
+        assert other.keys() == made[0].keys()
+        assert max(abs(other[k] - v) for k, v in made[0].items()) < 1e-3
+        assert all(other[k] == pytest.approx(v, rel=1e-5) for k, v in made[0].items())
