@@ -11,7 +11,8 @@ the unigram model of the ``tokenizers`` library behind a Metaspace splitter:
   their UTF-8 bytes (byte fallback) or, without byte pieces, as one token.
 
 Segments recur, so their counts are remembered, in a table of bounded size per task; a segment that isn't in it
-is counted anew. A null or empty text has 0 tokens. Other columns aren't read.
+is counted anew. A null or empty text has 0 tokens. Texts are read whole; of a segment without spaces, however long, only as many positions are held as the longest piece spans.
+Rows that repeat each get their row, a null id stays null, an empty table gives no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ class UnigramCounter:
     def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool, remembered: int = REMEMBERED):
         self.vocabulary, self.byte_fallback, self.remembered = vocabulary, byte_fallback, remembered
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
@@ -64,28 +66,31 @@ class UnigramCounter:
         self.__init__(*state)
 
     def segment(self, text: str) -> int:
-        """Tokens of one segment (no cut inside)."""
+        """Tokens of one segment (no cut inside). As many positions are held as the longest piece spans, and matches as they come."""
         n = len(text)
-        best = [-math.inf] * (n + 1)
-        count = [0] * (n + 1)
-        fused = [False] * (n + 1)  # does the best path to here end in an unknown character?
+        ring = min(n, self.longest) + 1
+        best = [-math.inf] * ring
+        count = [0] * ring
+        fused = [False] * ring  # does the best path to here end in an unknown character?
         best[0] = 0.0
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if self.vocabulary:
-            for end, match in self.automaton.iter(text):
-                found[end].append(match)
+        matches = self.automaton.iter(text) if self.vocabulary else iter(())
+        match = next(matches, None)
         for end in range(1, n + 1):
             top, tokens, unknown = -math.inf, 0, False
-            for length, score in found[end - 1]:
-                here = best[end - length] + score
+            while match is not None and match[0] == end - 1:
+                length, score = match[1]
+                at = (end - length) % ring
+                here = best[at] + score
                 if here > top:
-                    top, tokens = here, count[end - length] + 1
-            char = text[end - 1]
-            if char not in self.single and best[end - 1] + self.unknown > top:
-                top, unknown = best[end - 1] + self.unknown, True
-                tokens = count[end - 1] + (len(char.encode("utf-8", "replace")) if self.byte_fallback else not fused[end - 1])
-            best[end], count[end], fused[end] = top, tokens, unknown
-        return count[n]
+                    top, tokens = here, count[at] + 1
+                match = next(matches, None)
+            char, at = text[end - 1], (end - 1) % ring
+            if char not in self.single and best[at] + self.unknown > top:
+                top, unknown = best[at] + self.unknown, True
+                tokens = count[at] + (len(char.encode("utf-8", "replace")) if self.byte_fallback else not fused[at])
+            at = end % ring
+            best[at], count[at], fused[at] = top, tokens, unknown
+        return count[n % ring]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -115,4 +120,4 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts)], ["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")

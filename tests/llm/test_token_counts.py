@@ -43,3 +43,22 @@ def test_table(frame, vocabulary):
     got = token_counts(frame(rows), FILE).collect()
     assert sorted(map(repr, ((r.doc_id, r.n_tokens) for r in got))) == sorted(map(repr, ((i, counter.count(t)) for i, t in rows)))
     assert token_counts(frame(rows).limit(0), FILE).count() == 0
+
+
+def test_segments_far_longer_than_any_piece(vocabulary):
+    import random
+
+    r = random.Random(4)
+    letters = "etaoinshrdlu" * 3 + "qx日é😀"
+    full = [("<unk>", 0.0), *vocabulary[0]]
+    reference = tokenizers.Tokenizer(tokenizers.models.Unigram(full, 0, False))
+    reference.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace()
+    counter = UnigramCounter(vocabulary[0], False)
+    for n in (1, counter.longest - 1, counter.longest, counter.longest + 1, 20_000):
+        text = "".join(r.choice(letters) for _ in range(n))
+        assert counter.count(text) == len(reference.encode(text).ids)
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a b")], "`a.id` long, `a.text` string")
+    assert token_counts(docs, FILE, "a.id", "a.text").collect()[0].doc_id == 1
