@@ -117,11 +117,12 @@ class FactorizationMachine:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int | None = FOLDS, max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    """Fitted on labelled rows outside fold 0 (on all labelled rows if ``folds`` is None), at most ``max_rows`` of them."""
+    """Fitted on labelled rows of ``docs`` outside fold 0 (on all of them if ``folds`` is None), at most ``max_rows``; labels of other documents don't count."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     if folds:
         known = known.where(fold("doc_id", folds) != 0)
-    known = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_rows).select("doc_id", "y")
+    here = docs.select(F.col(f"`{id_col}`").alias("doc_id"))
+    known = known.join(here, "doc_id", "left_semi").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_rows).select("doc_id", "y")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sample = texts.join(F.broadcast(known), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("of_text"))  # at most max_rows ids
 

@@ -81,3 +81,10 @@ def test_names_and_repeated_ids(frame, spark):
     assert x.toxicity(docs, table, max_rows=40).count() == 251
     assert x.without_toxic(docs, table, max_rows=40).columns == docs.columns
     assert x.toxicity(docs.limit(0), table).count() == 0
+
+
+def test_labels_of_other_documents_take_no_place(frame, spark):
+    rows, labels = corpus(300)
+    others = [(i, i % 2) for i in range(10_000, 14_000)]
+    few = [x.fit_toxicity(frame(rows), spark.createDataFrame(y, "doc_id long, toxic int"), max_rows=300) for y in (labels, labels + others)]
+    assert (few[0].w == few[1].w).all() and (few[0].v == few[1].v).all() and few[0].w.any()

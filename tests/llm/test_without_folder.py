@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pyspark
 import pytest
 
@@ -41,7 +42,7 @@ def test_every_query(tmp_path):
     home = Path(pyspark.__file__).parent
     archives = sorted(str(p) for p in (home / "python" / "lib").glob("*.zip"))
     clean = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK", "SPARK"))}
-    env = clean | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "SPARK_HOME": str(home), "PYTHONPATH": os.pathsep.join([*archives, str(ROOT)])}
+    env = clean | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "SPARK_HOME": str(home), "PYTHONPATH": os.pathsep.join([*archives, str(ROOT), str(Path(duckdb.__file__).parents[1])])}
     done = subprocess.run([sys.executable, "-c", CODE, str(DATA)], env=env, capture_output=True, text=True, timeout=900, check=False)
     assert done.returncode == 0, done.stdout + done.stderr[-3000:]
-    assert len(done.stdout.splitlines()) == 11
+    assert len(done.stdout.splitlines()) == 14
