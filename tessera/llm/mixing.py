@@ -5,6 +5,8 @@ w * T / n. Each row's number of copies is that Poisson distribution's quantile a
 hashed from seed and id, so any run and any partitioning gives the same copies; the copies are then put
 into one global order by a hash of seed, id and copy.
 
+Rows that repeat an id have equal shuffle keys; their order among themselves is any.
+
 Defined results: rows of a null source are a source of their own. A null id hashes as the empty
 text; rows repeating an id get the same number of copies each. A source without weight, or with one
 of 0 or less, gets no copies. Texts aren't looked at, however long. An empty table gives an empty result. The operator's columns replace

@@ -98,3 +98,20 @@ def test_candidates_per_window_do_not_grow_with_items(frame, spark):
     rows = [(i, " ".join(rnd.choices(words, k=50)) + " " + q) for i, (_, q) in enumerate(items)] + [(900, "far " * 100_000 + items[0][1])]
     got = x.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(300)} | {(900, 0)}
+
+
+def test_windows_at_the_threshold_are_within_the_radius():
+    """Bits of SimHashes over L words of which k are others: as many as the measure allows, replaced apart, side by side or at an end."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    missed = every = 0
+    for length in (5, 25, 45, 50, 60, 100, 200, 400):
+        m = max(1, length - 4)
+        for lost in (lambda k: 5 * k, lambda k: k + 4, lambda k: k):
+            k = max([0, *(k for k in range(1, length) if 100 * (m - min(m, lost(k))) >= 80 * (m + min(m, lost(k))))])
+            same = rng.binomial(length - k, 0.5, (5000, 64))
+            one, other = (2 * (same + rng.binomial(k, 0.5, (5000, 64))) > length for _ in range(2))
+            missed += int(((one != other).sum(axis=1) > x.RADIUS).sum())
+            every += 5000
+    assert missed < every / 10_000
