@@ -1,7 +1,9 @@
 """Cleans and mixes the corpus: toxic documents go, then exact copies, near copies and benchmark leaks; sources are mixed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
-Documents that a stage has nothing against stay. Nulls, empty texts and repeated rows are as the operators say.
+Documents that a stage has nothing against stay. Null ids and texts are documents as any: a null text counts as empty, and empty texts are copies of each other. Rows that repeat each count, one of
+them stays. Texts are read whole, however long. An empty table gives an empty one. Further columns of ``documents`` are handed on, whatever their names, but for those named as mixing's own (``copy``,
+``shuffle_key``), which it replaces.
 """
 
 from __future__ import annotations
