@@ -51,6 +51,7 @@ FUNCTIONS: list[tuple[str, str, T.DataType | str]] = [
     ("st_intersection_each", "IntersectionEach", SHARED),
     ("st_intersection_npoints_each", "IntersectionPointsEach", "array<int>"),
     ("st_union_npoints_each", "UnionPointsEach", "array<int>"),
+    ("st_tiles", "Tiles", "array<struct<xmin:double,ymin:double,xmax:double,ymax:double,full:boolean>>"),
     ("st_preparations", "Preparations", T.LongType()),
 ]
 

@@ -29,6 +29,11 @@ class Regions:
 
     boxes: np.ndarray
 
+    def meeting(self, xmin: float, ymin: float, xmax: float, ymax: float) -> list[int]:
+        """Numbers of the regions that a box meets: those partitions hold whatever can intersect it."""
+        b = self.boxes
+        return np.flatnonzero((b[:, 0] <= xmax) & (b[:, 2] >= xmin) & (b[:, 1] <= ymax) & (b[:, 3] >= ymin)).tolist()
+
     def table(self, spark: SparkSession, prefix: str = "") -> DataFrame:
         rows = [(i, *map(float, b)) for i, b in enumerate(self.boxes)]
         return spark.createDataFrame(rows, ", ".join(["pid int", *(f"{prefix}{c} double" for c in ENVELOPE)]))

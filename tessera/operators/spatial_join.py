@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
 from tessera.operators.envelope_join import Strategy, candidate_pairs
-from tessera.operators.fetch import ROW, each_pair, numbered, runs
+from tessera.operators.fetch import ROW, each_pair, fetched, numbered, runs
 from tessera.operators.regions import Regions
+from tessera.operators.tiles import decided, tiled
+from tessera.scratch import Scratch
 
 
 def candidate_runs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
@@ -27,12 +29,29 @@ def _without_rows(pairs: DataFrame) -> DataFrame:
     return pairs.drop(f"left_{ROW}", f"right_{ROW}")
 
 
-def intersecting_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
-    """Pairs whose geometries intersect, with both layers' columns."""
+def intersecting_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None, most_points: int | None = None) -> DataFrame:
+    """Pairs whose geometries intersect, with both layers' columns.
+
+    With ``most_points``, right polygons of more points are held against in tiles first (``operators.tiles``), and fetched only for pairs that tiles don't decide.
+    """
+    if most_points is not None:
+        return _by_tiles(left, right, strategy, cell, most_points)
     pairs = refine(candidate_runs(left, right, strategy, cell, regions), "st_intersects_each", "__met")
     return _without_rows(pairs.where("__met").drop("__met"))
 
 
+def _by_tiles(left: DataFrame, right: DataFrame, strategy: Strategy, cell: float | None, most_points: int) -> DataFrame:
+    if strategy == "partitioned":
+        raise ValueError("tiles are for strategies that meet each pair, not for partitions")
+    register(left.sparkSession)
+    left, right = numbered(left), numbered(right)
+    tiles = Scratch(left.sparkSession).table(tiled(right, most_points), keep=True)
+    met = Scratch(left.sparkSession).table(decided(candidate_pairs(left, tiles, strategy, cell)), keep=True)
+    sure = fetched(met.where("__sure").drop("__sure"), left, right)
+    tried = refine(runs(met.where("not __sure").drop("__sure"), left, right), "st_intersects_each", "__met").where("__met").drop("__met")
+    return _without_rows(sure.unionByName(tried))
+
+
 def intersections(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, keep_empty: bool = True, regions: Regions | None = None) -> DataFrame:
     """All candidates with what their geometries share: ``geom``, ``geom_type``, ``n_points`` and its envelope; an empty result is a row unless ``keep_empty`` is False."""
     pairs = refine(candidate_runs(left, right, strategy, cell, regions), "st_intersection_each", "__shared").where("__shared is not null")

@@ -99,15 +99,24 @@ def join_partition_files_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(a, b, "intersection_points", "partitioned")
 
 
-def join_shapes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points, level lines and triples of points, by turns, with boxes that have a hole."""
+def _shapes_and_rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points, level lines and pairs of points, by turns; boxes that have a hole."""
     register(spark)
     shape = "CASE id % 3 WHEN 0 THEN concat('POINT(', x1, ' ', y1, ')') WHEN 1 THEN concat('LINESTRING(', x1, ' ', y1, ',', x1 + w, ' ', y1, ')') ELSE concat('MULTIPOINT((', x1, ' ', y1, '),(', x1 + w, ' ', y1, '))') END"
     shapes = parse_lines(_boxes(spark, sf_dir, "part", LAYER_A).selectExpr("id", f"{shape} AS value"))
     outer = "(x1, ' ', y1, ',', x1 + 20, ' ', y1, ',', x1 + 20, ' ', y1 + 20, ',', x1, ' ', y1 + 20, ',', x1, ' ', y1)"
     hole = "(x1 + 4, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 4)"
     rings = parse_lines(_boxes(spark, sf_dir, "customer", LAYER_B).selectExpr("id", f"concat('POLYGON((', concat{outer}, '),(', concat{hole}, '))') AS value"))
-    return intersecting_pairs(stored(shapes), stored(rings)).select("left_id", "right_id")
+    return stored(shapes), stored(rings)
+
+
+def join_shapes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intersecting_pairs(*_shapes_and_rings(spark, sf_dir)).select("left_id", "right_id")
+
+
+def join_tiles_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by tiles of the boxes: what lies in the hole, or wholly beside it, is decided on envelopes."""
+    return intersecting_pairs(*_shapes_and_rings(spark, sf_dir), most_points=1).select("left_id", "right_id")
 
 
 def envelope_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_wkb_hex_files": read_wkb_hex_files,
     "join_partition_files_points": join_partition_files_points,
     "join_shapes_pairs": join_shapes_pairs,
+    "join_tiles_pairs": join_tiles_pairs,
     "join_tree_pairs": _candidates("tree"),
     "join_blocks_pairs": _candidates("blocks"),
     "join_tree_points": _measured("intersection_points", "tree"),
@@ -271,3 +281,4 @@ ORACLES: dict[str, str] = {
             FROM s JOIN r ON sx <= rx + 20 AND ex >= rx AND sy BETWEEN ry AND ry + 20)
         SELECT left_id, right_id FROM met WHERE CASE kind WHEN 0 THEN first WHEN 2 THEN first OR last ELSE NOT (sx > rx + 4 AND ex < rx + 16 AND sy > ry + 4 AND sy < ry + 16) END""",
 }
+ORACLES["join_tiles_pairs"] = ORACLES["join_shapes_pairs"]

@@ -7,7 +7,10 @@ aren't; an empty geometry stays, with a null envelope, and is never a candidate
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from typing import Literal
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +67,23 @@ def read_wkb_hex(spark: SparkSession, path: str, validate: Validate = "never") -
     return parse_lines(spark.read.text(path), parser="st_geomfromwkbhex", validate=validate)
 
 
-def read_partitioned(spark: SparkSession, path: str, parser: str = "st_geomfromtext", validate: Validate = "always") -> DataFrame:
+def read_partitioned(spark: SparkSession, path: str, parser: str = "st_geomfromtext", validate: Validate = "always", pids: Sequence[int] | None = None) -> DataFrame:
     """A layer of files whose names end in their partition number, before any extensions; it becomes ``pid``.
 
-    A file without a number fails the read: leaving it out would lose its geometries.
+    A file without a number fails the read: leaving it out would lose its geometries. ``pids``, if given, are the partitions wanted; files of
+    others are left out by name, before any is opened, and so are they where the numbers wanted are those of regions, see ``Regions.meeting``.
     """
+    lines = spark.read.text(path)
+    if pids is not None:
+        files = [unquote(f) for f in lines.inputFiles()]  # of the listing; none is opened for it
+        found = [re.search(r"(\d+)(?:\.[A-Za-z]\w*)*$", f.rsplit("/", 1)[-1]) for f in files]
+        wanted = set(pids)
+        lines = spark.read.text([f for f, number in zip(files, found, strict=True) if number is None or int(number[1]) in wanted] or path)
+        lines = lines if any(number is None or int(number[1]) in wanted for number in found) else lines.limit(0)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     number = F.regexp_extract(name, r"(\d+)(?:\.[A-Za-z]\w*)*$", 1)
     pid = F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no partition number in the name of "), name)).cast("int"))
-    return parse_lines(spark.read.text(path).withColumn("pid", pid), parser=parser, validate=validate)
+    return parse_lines(lines.withColumn("pid", pid), parser=parser, validate=validate)
 
 
 def _numbers(value: Column) -> Column:

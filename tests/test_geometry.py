@@ -165,3 +165,57 @@ def test_runs_have_a_share_of_the_cost(spark, monkeypatch):
     monkeypatch.setattr(fetch, "RUN_PAIRS", 3)
     assert fetch.cut(found, 8).groupBy(fetch.RIGHT_ROW, "__cut").count().agg(F.avg("count")).first()[0] <= 3.2
     assert intersecting_pairs(many, heavy).count() == intersecting_pairs(many, heavy, "nested").count() == 3000 + 20 * sum(i % 400 <= 4 for i in range(3000))
+
+
+def ring(points):
+    return "(" + ",".join(f"{x!r} {y!r}" for x, y in [*points, points[0]]) + ")"
+
+
+def test_tiles_decide_as_whole_geometries_do(spark):
+    """A wavy polygon with holes, a multipolygon and small shapes, against points, boxes and lines on and off their edges."""
+    import math
+
+    def wave(n, r, cx, cy):
+        return [(cx + (r + math.sin(9 * a) * r / 5) * math.cos(a), cy + (r + math.sin(9 * a) * r / 5) * math.sin(a)) for a in (2 * math.pi * i / n for i in range(n))]
+
+    one, hole, star = wave(3000, 40, 50, 50), wave(500, 9, 45, 52), wave(800, 20, 130, 40)
+    texts = [f"POLYGON({ring(one)},{ring(hole)})", f"MULTIPOLYGON(({ring(star)}),((0 0,3 0,3 3,0 3,0 0)))", NINE, "POLYGON((0 0,200 0,200 0.5,0 0.5,0 0))", "LINESTRING(0 0,150 90)", "POLYGON((0 0,4 4,4 0,0 4,0 0))"]
+    edge = [f"POINT({x!r} {y!r})" for x, y in [*one[::300], *hole[::90], *star[::100]]]
+    spots = [f"POINT({x} {y})" for x in range(0, 160, 9) for y in range(0, 100, 9)]
+    boxes = [f"POLYGON(({x} {y},{x + 6} {y},{x + 6} {y + 6},{x} {y + 6},{x} {y}))" for x in range(0, 160, 17) for y in range(0, 100, 13)]
+    many = layers.stored(layer(spark, *edge, *spots, *boxes, "LINESTRING(44 52,46 52)", "MULTIPOINT((45 52),(500 500))", "POLYGON EMPTY"))
+    large = layers.stored(layer(spark, *texts))
+    pairs = lambda df: sorted((r.left_id, r.right_id, r.right_part, r.left_xmin, r.right_xmax, r.right_geom_type) for r in df.collect())
+    want = pairs(intersecting_pairs(many, large))
+    assert pairs(intersecting_pairs(many, large, most_points=32)) == want
+    assert pairs(intersecting_pairs(many, large, "tree", most_points=1)) == want and len(want) == 186
+    from tessera.operators.tiles import decided, tiled
+
+    tiles = tiled(large, 32)
+    assert tiles.count() > 150 and tiles.where("__full").count() > 50
+    met = decided(candidate_pairs(many, tiles))
+    of_points = lambda df, x="true": df.where(f"right_id = 0 and left_points = 1 and {x}").count()
+    tried, every = of_points(met, "not __sure"), of_points(candidate_pairs(many, large))
+    assert tried + of_points(met, "__sure") < every and tried <= every / 2  # of a wavy edge, and points on it
+
+
+def test_files_of_other_partitions_are_not_opened(spark, tmp_path):
+    for i in (0, 1, 11, 21, 3):
+        (tmp_path / f"a{i}.txt").write_text(f"POINT({i} {i})\n")
+    folder = str(tmp_path)
+    assert sorted(r.pid for r in layers.read_partitioned(spark, folder).collect()) == [0, 1, 3, 11, 21]
+    (tmp_path / "a4.txt.gz").write_bytes(b"broken: whoever opens it fails")
+    with pytest.raises(Exception, match="gzip|GZIP"):
+        layers.read_partitioned(spark, folder).collect()
+    some = layers.read_partitioned(spark, folder, pids=[1, 3])
+    assert sorted((r.pid, r.xmin) for r in some.collect()) == [(1, 1.0), (3, 3.0)]
+    assert layers.read_partitioned(spark, folder, pids=[]).count() == 0
+    (tmp_path / "odd.txt").write_text("POINT(1 1)\n")
+    with pytest.raises(Exception, match="no partition number"):
+        layers.read_partitioned(spark, folder, pids=[1]).collect()
+    import numpy as np
+
+    from tessera.operators.regions import Regions
+
+    inf = float("inf")
+    assert Regions(np.array([[-inf, -inf, 0, inf], [0, -inf, inf, 5], [0, 5, inf, inf]])).meeting(0, 6, 9, 9) == [0, 2]
