@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tessera.llm.broadcasts import light
 from tessera.llm.components import UnionFind, components, star_batch
 from tessera.llm.names import unused
 from tessera.llm.sketch import blocks, bloom, combined, may_hold
@@ -391,14 +392,20 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but those whose component has a smaller id.
 
-    Verdicts are joined back by id and set, so rows of one id, or without any, are told apart; a component without any id stays.
+    Verdicts go by id and set, so rows of one id, or without any, are told apart; a component without any id stays. They are brought back by id and a hash of the text, which are
+    broadcast up to 64 MB, measured first: the rows themselves don't pass through Python, and stay where they are.
     """
-    gone_id, gone_set, own_set = unused(docs.columns, "__gone", "__node", "__set")
-    found = ngram_components(docs, size, num, den, id_col, text_col)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_set)).distinct()
-    mine = with_sets(docs, size, text_col, own_set)
-    same = (mine[own_set] == gone[gone_set]) & mine[f"`{id_col}`"].eqNullSafe(gone[gone_id])
-    return mine.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone_id, gone_text, own_text = unused(docs.columns, "__gone", "__hash", "__own")
+    hashed = F.xxhash64(F.col(f"`{text_col}`"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), hashed.alias("hash"))
+    found = ngram_components(narrow, size, num, den, "id", "text")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "node").distinct()
+    mine = with_sets(narrow, size, "text", "own").select("id", "hash", "own")
+    leave = mine.join(gone, (mine["own"] == gone["node"]) & mine["id"].eqNullSafe(gone["doc_id"]), "left_semi").select(F.col("id").alias(gone_id), F.col("hash").alias(gone_text)).distinct()
+    leave = light(Scratch(docs.sparkSession).table(leave, keep=True))
+    rows = docs.withColumn(own_text, hashed)
+    same = (rows[own_text] == leave[gone_text]) & rows[f"`{id_col}`"].eqNullSafe(leave[gone_id])
+    return rows.join(leave, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def with_sets(docs: DataFrame, size: int, text_col: str, name: str = "__set") -> DataFrame:
