@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 BAND = 20_000  # rows of a layer that a block is meant to hold
 
@@ -22,7 +21,12 @@ def matrix(n_left: int, n_right: int, band: int = BAND) -> tuple[int, int]:
 def block_join(a: DataFrame, b: DataFrame, meet: Column, band: int = BAND) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` for which ``meet`` holds, which is tried on each pair once."""
     rows, columns = matrix(a.count(), b.count(), band)
-    dealt = lambda side, own, bands, other, copies: side.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(bands))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>")))
-    left = dealt(a, "__band_a", rows, "__band_b", columns)
-    right = dealt(b, "__band_b", columns, "__band_a", rows)
+    left = _dealt(a, "left___row", "__band_a", rows, "__band_b", columns)
+    right = _dealt(b, "right___row", "__band_b", columns, "__band_a", rows)
     return left.join(right, ["__band_a", "__band_b"]).where(meet).drop("__band_a", "__band_b")
+
+
+def _dealt(side: DataFrame, row: str, own: str, bands: int, other: str, copies: int) -> DataFrame:
+    """Rows with their band, by row number or else by all that they hold, once for each band of the other layer."""
+    names = f"`{row}`" if row in side.columns else ", ".join(f"`{c}`" for c in side.columns)
+    return side.selectExpr("*", f"pmod(xxhash64({names}), {bands}L) as {own}", f"explode(sequence(0L, {copies - 1}L)) as {other}")

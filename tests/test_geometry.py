@@ -167,6 +167,22 @@ def test_runs_have_a_share_of_the_cost(spark, monkeypatch):
     assert intersecting_pairs(many, heavy).count() == intersecting_pairs(many, heavy, "nested").count() == 3000 + 20 * sum(i % 400 <= 4 for i in range(3000))
 
 
+def test_tasks_cost_about_the_same(spark):
+    """One polygon of 100,000 points that meets everything, beside small ones: costs of the tasks that compare."""
+    import math
+
+    from tessera.operators.fetch import runs
+
+    n = 100_000
+    circle = ring([(50 + 60 * math.cos(2 * math.pi * i / n), 50 + 60 * math.sin(2 * math.pi * i / n)) for i in range(n)])
+    large = layers.stored(layer(spark, f"POLYGON({circle})", *[f"POLYGON(({i} 0,{i + 1} 0,{i + 1} 100,{i} 100,{i} 0))" for i in range(100)]))
+    many = layers.stored(layer(spark, *[f"POINT({i % 100} {i // 100})" for i in range(5000)]))
+    found = runs(candidate_pairs(many, large), many, large, tasks=8)
+    cost = F.expr("aggregate(lefts, 0D, (sum, x) -> sum + (x.left_points + 16D) * (right_points + 16D))")
+    costs = sorted(r[1] for r in found.groupBy(F.spark_partition_id()).agg(F.sum(cost)).collect())
+    assert len(costs) == 8 and costs[-1] <= 3 * costs[4]
+
+
 def ring(points):
     return "(" + ",".join(f"{x!r} {y!r}" for x, y in [*points, points[0]]) + ")"
 
