@@ -6,7 +6,7 @@ proper probability. One log-bilinear predictor: the vectors of the two preceding
 diagonal matrix, add up to a context h = c1 * r(u1) + c2 * r(u2), and class w after it has the score h . q(w) + bias(w), normalised over all classes.
 
 Training is in numpy, by mini-batches with ``NOISE`` noise classes each, drawn from the unigram distribution and shared by the batch, so that scores and
-gradients are products of matrices. It starts on the driver, on the texts of at most ``WARM_ROWS`` training rows (those of smallest hash). From
+gradients are products of matrices. It starts on the driver, on the texts of at most ``WARM_ROWS`` training rows (those of smallest hash, of at most ``WARM_BYTES`` each). From
 there all training rows are dealt by a hash of id and text to shards, as many as ``SHARD_TOKENS`` tokens each take; a copy of the model goes through each shard's rows once, in the order of
 another hash, and the copies are averaged by their numbers of tokens. So scores don't depend on how rows lie in partitions (but for the order in which floats are added up). What is dealt are classes,
 two bytes a word. Word counts are gathered from all training rows too
@@ -45,7 +45,7 @@ WORDS, CLASSES = 1022, 2048
 BUCKETS = CLASSES - FIRST_WORD - WORDS
 FREQUENT = 1 << 19
 DIMENSIONS, NOISE, BATCH, RATE = 24, 64, 1024, 0.15
-WARM_ROWS, WARM_EPOCHS = 2000, 4
+WARM_ROWS, WARM_BYTES, WARM_EPOCHS = 2000, 1 << 16, 4
 SHARD_TOKENS = 1 << 23
 _HISTOGRAM = 1 << 12
 
@@ -216,12 +216,16 @@ def classes_of(training: DataFrame, vocabulary: Vocabulary, shards: int) -> Data
     return row.mapInArrow(run, "shard int, place long, classes binary")
 
 
-def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray, n_tokens: int, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
-    """The model of all training rows (doc_id, text), which have ``n_tokens``."""
+def trained(training: DataFrame, vocabulary: Vocabulary, tokens: np.ndarray, n_rows: int, n_tokens: int, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """The model of all ``n_rows`` training rows (doc_id, text), which have ``n_tokens``."""
     unigram = tokens + 0.5
     unigram[START] = 1e-3
     model = LogBilinear(unigram / unigram.sum())
-    sample = training.select("text", F.xxhash64("text").alias("place")).orderBy("place", "text").limit(WARM_ROWS).select("text").toArrow()
+    # about twice as many rows as are wanted pass the hash, so no task gathers more
+    row = training.select("text", F.xxhash64("doc_id", "text").alias("place")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= WARM_BYTES)
+    share = min(1.0, 2 * WARM_ROWS / max(1, n_rows))
+    chosen = row.where(F.shiftrightunsigned("place", 11) <= int(share * ((1 << 53) - 1))).orderBy("place", "text").limit(WARM_ROWS)
+    sample = chosen.select("text").toArrow()  # at most WARM_ROWS * WARM_BYTES
     rng = np.random.default_rng(5)
     if sample.num_rows:
         warm = [np.concatenate(x) for x in zip(*tokens_of(sample.column("text"), vocabulary))][:3]
@@ -338,7 +342,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str
     top = np.sort(np.lexsort((h, -n))[:WORDS])
     vocabulary = Vocabulary(h[top])
     tokens, sizes = class_counts(counts, b[top], n[top], n_end)
-    model = trained(training, vocabulary, tokens, n_all, shard_tokens)
+    model = trained(training, vocabulary, tokens, n_end, n_all, shard_tokens)
     scorer = spark.sparkContext.broadcast(Scorer(vocabulary, model, normalisers_of(spark, model), h, np.log10(n + 1.0), np.log10(sizes + 1.0), n_end))  # at most FREQUENT * 16 bytes, the model and its normalisers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
