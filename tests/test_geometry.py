@@ -137,7 +137,8 @@ def test_geometries_stay_out_of_the_cells(spark):
 
 def test_a_right_geometry_is_prepared_once_a_run(spark):
     many = layers.stored(layer(spark, *[f"POINT({i % 9} {i % 7})" for i in range(400)]))
-    few = layers.stored(layer(spark, NINE, "POLYGON((-1 -1,12 -1,12 12,-1 12,-1 -1))", S))
+    square = lambda low, high: f"POLYGON(({low} {low},{high} {low},{high} {high},{low} {high},{low} {low}))"
+    few = layers.stored(layer(spark, square(-0.5, 9), square(-1, 12), square(-0.25, 4)))  # which no other test has prepared
     n = candidate_runs(many, few).count()
     before = preparations(spark)
     met = intersecting_pairs(many, few).count()
