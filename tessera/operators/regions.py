@@ -39,6 +39,12 @@ class Regions:
         return spark.createDataFrame(rows, ", ".join(["pid int", *(f"{prefix}{c} double" for c in ENVELOPE)]))
 
 
+def read_regions(spark: SparkSession, path: str) -> Regions:
+    """Regions whose ``table`` was written as Parquet, beside the partitions that they number."""
+    rows = spark.read.parquet(path).orderBy("pid").select(*ENVELOPE).collect()  # a row for each region
+    return Regions(np.array([tuple(r) for r in rows], np.float64).reshape(-1, 4))
+
+
 def _sampled(layer: DataFrame, most: int, weight: str | None) -> DataFrame:
     """At most about ``most`` rows, each with its middle and weight, by a hash of the envelope and row so that it is the same each time."""
     known = layer.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ENVELOPE))

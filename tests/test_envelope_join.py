@@ -12,7 +12,7 @@ from tessera.operators import envelope_join as e
 from tessera.operators import grid
 from tessera.operators.blocks import block_join, matrix
 from tessera.operators.packed_tree import PackedTree
-from tessera.operators.regions import cut_plane, find_regions, replicated
+from tessera.operators.regions import cut_plane, find_regions, read_regions, replicated, write_partitions
 
 SCHEMA = "id long, xmin double, ymin double, xmax double, ymax double, pid int"
 INF = math.inf
@@ -97,6 +97,22 @@ def test_regions_tile_the_plane_evenly(parts):
     assert len(cut_plane(np.ones(9), np.ones(9), np.ones(9), 4)) == 1  # one place can't be cut
 
 
+def test_partitions_of_regions_are_read_again(spark, tmp_path):
+    """Written and read partitions give what the grid does, each pair once, geometries too large for one region or not."""
+    rng = np.random.default_rng(5)
+    low = rng.uniform(0, 100, (300, 2))
+    sides = np.where(rng.random((300, 1)) < 0.1, 60, 2) * rng.random((300, 2))
+    layer = boxes(spark, np.column_stack([low, low + sides]).tolist()).withColumnRenamed("pid", "weight").withColumn("name", F.concat(F.lit("n"), "id"))
+    regions = find_regions([layer, layer], 6, "weight")
+    write_partitions(layer, regions, str(tmp_path / "layer"))
+    regions.table(spark).write.parquet(str(tmp_path / "regions"))
+    again, written = read_regions(spark, str(tmp_path / "regions")), spark.read.parquet(str(tmp_path / "layer"))
+    assert (again.boxes == regions.boxes).all() and written.count() > 300
+    found = e.envelope_join(written, written, "partitioned", regions=again)
+    assert pairs(found) == pairs(e.envelope_join(layer, layer))
+    assert all(r.left_name == f"n{r.left_id}" and r.right_name == f"n{r.right_id}" for r in found.collect())
+
+
 def test_matrix():
     assert matrix(0, 1) == (1, 1) and matrix(20_001, 60_000) == (2, 3)
 
