@@ -3,11 +3,11 @@
 Two documents link when their sets of word n-grams have ``den * shared >= num * union``. Documents of equal sets are
 one node. The search is exact:
 
-1. A sketch of fixed size counts n-grams over all documents; (count, hash) is a global order, rare ones first. Nodes that
-   link share one of the first n - ceil(num * n / den) + 1 n-grams of each in that order, so lists of those prefixes
-   are built on the cluster. In a list of up to ``PAIRED`` nodes those pairs are joined whose sizes and places of the shared n-gram
-   allow the overlap needed; in a longer one neighbours by set size are chained, but for gaps that no link can
-   span. Components of what is joined are clusters outside of which there is no link.
+1. Two sets that link differ in at most D n-grams, a number that their size gives. The n-grams are dealt by their hash to twice as many parts, or more, so at least as many parts
+   as there are, less D, hold the same of both: by any order of parts, the first D + 1 of each set have one in common. That order is by how rare their n-grams are together, which a sketch of fixed size
+   that counts n-grams over all documents tells; parts are named by what they hold. Sets of less than twice a size are dealt alike, and a set that may link with larger ones, of the next such
+   range, is dealt their way too. A part holds several n-grams, so sets that don't link seldom share one, however many documents there are, and nodes of a part are chained, not paired.
+   Components of what is chained are clusters outside of which there is no link.
 2. A cluster is dealt into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_BYTES`` of n-grams at most. Within a block every node is searched by
    T-occurrence: the shortest inverted lists are merged by a heap, the T - 1 longest are probed by binary search (DivideSkip), or, where many
    candidates are left, by position in those lists' bit rows; nodes
@@ -45,7 +45,6 @@ from tessera.scratch import Scratch
 
 SKETCH_BITS = 20
 BLOCK_NODES, BLOCK_BYTES = 2048, 48 << 20
-PAIRED = 256
 PROBED_AT_ONCE = 64
 MAX_BROADCAST = 500_000
 
@@ -103,88 +102,90 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, node binary, short long, block int, content binary")
 
 
-def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(token, n, place, node), nodes by 8 bytes: the n-grams of each node's prefix. A task sends a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 << SKETCH_BITS bytes
+def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many n-grams a set of n and one that links with it, of as many or more or fewer, differ at most."""
+    return (den - num) * (n + n * den // num) // (den + num)
+
+
+def parts_of(k: int, num: int, den: int) -> int:
+    """Parts that the n-grams are dealt to by their hash, for sets of 2 ** k to 2 ** (k + 1) - 1 of them: twice as many as may differ.
+
+    Small sets have more, so that a line that many documents have doesn't fill the parts that count.
+    """
+    return int((4 if k < 8 else 2) * most_apart(np.array([(2 << k) - 1]), num, den)[0]) + 1
+
+
+def parts(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
+    """(part, node), nodes by 8 bytes: names of the parts of each node's set that it has to share one of with any node it links with. A task sends a set once."""
+    rarity = np.round(16 * np.log2(np.maximum(sketch.sum(dtype=np.float64), 1) / np.maximum(sketch, 1))).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(np.clip(rarity, 0, 1023).astype(np.uint16))  # 2 << SKETCH_BITS bytes
+
+    def of_space(k: np.ndarray, doc: np.ndarray, h: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, name) of the parts of documents that are held against sets of 2 ** k n-grams or more; k is -1 where there is none."""
+        keep = k[doc] >= 0
+        doc, h = doc[keep], h[keep]
+        if not len(doc):
+            return doc, h
+        n_parts = np.zeros(len(k), np.uint64)
+        for x in np.unique(k[k >= 0]).tolist():
+            n_parts[k == x] = parts_of(x, num, den)
+        part = ((h >> np.uint64(32)) * n_parts[doc]) >> np.uint64(32)  # ascends with the hash
+        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
+        content = np.add.reduceat(mix(h), starts)
+        weight = np.add.reduceat(weights[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64), starts)
+        owner = doc[starts]
+        name = mix(content + (k[owner].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.lexsort((name, -weight, owner))
+        owner, name = owner[order], name[order]
+        first = np.searchsorted(owner, np.arange(len(k)))
+        wanted = most_apart(n, num, den) + 1
+        within = np.arange(len(owner)) - first[owner] < wanted[owner]
+        lacking = np.flatnonzero((k >= 0) & (np.bincount(owner, minlength=len(k)) < np.minimum(wanted, n_parts.astype(np.int64))))
+        owners, names = [owner[within]], [name[within]]
+        for i in lacking.tolist():  # small sets: parts without n-grams come last
+            filled = set(part[starts][doc[starts] == i].tolist())
+            none = [j for j in range(int(n_parts[i])) if j not in filled][: int(wanted[i]) - len(filled)]
+            owners.append(np.full(len(none), i))
+            names.append(mix(np.array(none, np.uint64) + np.uint64((int(k[i]) + 1) << 40)))
+        return np.concatenate(owners), np.concatenate(names)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        counts = shared.value
+        weights = shared.value
         for batch in batches:
             for s in slices(batch.column(1)):
                 doc, h = distinct_shingles(s, size)
                 n = np.bincount(doc, minlength=s.n_docs)
                 keys = node_keys(s, doc, h)
                 new, _ = fresh(keys, n, seen)
-                keep = new[doc]
-                doc, h = doc[keep], h[keep]
-                frequency = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
-                order = np.argsort((doc << 32) + frequency, kind="stable")  # ties stay in the order of hashes
-                doc, h = doc[order], h[order]
-                first = np.searchsorted(doc, np.arange(s.n_docs))
-                place = np.arange(len(doc)) - first[doc]
-                within = place < (n - -(-num * n // den) + 1)[doc]
-                doc, h, place = doc[within], h[within], place[within]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(keys[doc, 0].view(np.int64))], ["token", "n", "place", "node"])
-
-    return docs.mapInArrow(run, "token long, n int, place int, node long")
-
-
-def joined(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between nodes of a token's list that may link, or chains through them; a task sends at most one for each node."""
-
-    def pairs(token: np.ndarray, n: np.ndarray, place: np.ndarray, long: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Rows to be joined; rows are sorted by token and n, ``long`` marks rows of long lists."""
-        step = 1
-        at = np.flatnonzero(token[1:] == token[:-1]) + 1
-        chained = at[long[at]]
-        chained = chained[den * n[chained - 1] >= num * n[chained]]
-        yield from zip((chained - 1).tolist(), chained.tolist())
-        at = at[~long[at]]
-        while len(at):
-            i, j = at, at - step
-            needed = -(-num * (n[i] + n[j]) // (num + den))
-            able = (den * n[j] >= num * n[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed)
-            yield from zip(j[able].tolist(), i[able].tolist())
-            step += 1
-            at = at[at >= step]
-            at = at[token[at] == token[at - step]]
+                own = np.where(new, np.frexp(n.astype(np.float64))[1] - 1, -1)
+                largest = np.where(new, np.frexp((n * den // num).astype(np.float64))[1] - 1, -1)
+                k = own
+                while (k >= 0).any():
+                    owner, name = of_space(k, doc, h, n, weights)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(keys[owner, 0].view(np.int64))], ["part", "node"])
+                    k = np.where((k >= 0) & (k < largest), k + 1, -1)
+
+    return docs.mapInArrow(run, "part long, node long")
+
+
+def joined(named: DataFrame) -> DataFrame:
+    """Edges (a, b) that chain the nodes of each part; a task sends at most one for each node."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = UnionFind()
-        rest: tuple | None = None  # rows of the last list, which may go on
-        rest_long = False
-
-        def work(columns: tuple, first_long: bool, last: bool) -> tuple[tuple | None, bool]:
-            token, n, place, node = columns
-            if not len(token):
-                return None, False
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            lengths = np.diff(np.append(starts, len(token)))
-            is_long = lengths > PAIRED
-            is_long[0] |= first_long
-            keep = None
-            end = len(token)
-            if not last:
-                keep = slice(end - 1, end) if is_long[-1] else slice(starts[-1], end)
-                end = end if is_long[-1] else starts[-1]
-            long = np.repeat(is_long, lengths)[:end]
-            for a, b in pairs(token[:end], n[:end], place[:end], long):
-                if node[a] != node[b]:
-                    sets.union(int(node[a]), int(node[b]))
-            return (None if keep is None else (token[keep], n[keep], place[keep], node[keep])), bool(is_long[-1])
-
+        last = np.zeros((2, 0), np.int64)
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy())
-            columns = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
-            rest, rest_long = work(columns, rest_long, last=False)
-        if rest is not None:
-            work(rest, rest_long, last=True)
+            part, node = np.concatenate([last, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+            at = np.flatnonzero((part[1:] == part[:-1]) & (node[1:] != node[:-1]))
+            for a, b in set(zip(node[at].tolist(), node[at + 1].tolist())):
+                sets.union(a, b)
+            last = np.stack([part[-1:], node[-1:]])
         yield star_batch(sets, binary=False)
 
-    return lists.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long")
+    return named.repartition("part").sortWithinPartitions("part", "node").mapInArrow(run, "a long, b long")
 
 
 def members(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
@@ -348,7 +349,7 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
         made = s.table(profile(texts, size))
         sketch = combined(made.where("block is not null").select("block", "content"), 1 << SKETCH_BITS, "uint32", "sum")
         rows = made.where("block is null").select("id", "n", "node")
-        clusters = s.table(components(joined(prefixes(texts, size, num, den, sketch), num, den), s))
+        clusters = s.table(components(joined(parts(texts, size, num, den, sketch)), s))
         few = clusters.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
         belongs = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
         blocks_of = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
@@ -364,7 +365,7 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
 
         both = {"host": F.lit(True), "query": F.lit(True), "part": F.col("node")}
         of_one_block = s.table(searched(dealt(sets_of(dealing.where("n_blocks = 1")), 1).withColumns(both), ["cluster", "block"], num, den))
-        parts = of_one_block.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        linked = of_one_block.select(F.col("a").alias("node"), F.col("b").alias("component"))
         in_blocks = dealing.where("n_blocks > 1")
         if not in_blocks.isEmpty():
             sets = s.table(sets_of(in_blocks))
@@ -381,8 +382,8 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
             asked = placed.where("part <> largest").withColumn("batch", F.pmod(F.xxhash64(F.col("node"), F.lit(3)), F.col("n_queries")).cast("int"))
             asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cluster", "block", "batch", F.lit(False).alias("host"), F.lit(True).alias("query"), "part", "node", "grams")
             rest = s.table(searched(hosts.unionByName(asked), ["cluster", "block", "batch"], num, den))
-            parts = parts.union(s.table(components(found.select(F.col("node").alias("a"), F.col("part").alias("b")).where("a <> b").union(rest), s)))
-        named = rows.where("n > 0").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+            linked = linked.union(s.table(components(found.select(F.col("node").alias("a"), F.col("part").alias("b")).where("a <> b").union(rest), s)))
+        named = rows.where("n > 0").join(linked, "node", "left").withColumn("part", F.coalesce("component", "node"))
         names = named.groupBy("part").agg(F.min("id").alias("component_id"))
         whole = named.join(names, "part").select("id", "n", "component_id", "node").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "node"))
         out = s.table(whole, keep=True)

@@ -87,3 +87,14 @@ def test_keep_one_tells_rows_of_one_id_apart(frame):
     assert got.schema == df.schema
     want = [(1, text(1)), (None, text(500)), (None, text(900)), (3, text(2000)), (4, text(3000)), (None, None)]
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_sets_that_share_some_ngrams_are_no_cluster(frame, monkeypatch):
+    """Any two texts of 100 words out of 4000 share two or three, as happens by chance among very many; they aren't searched together."""
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"w{j}" for j in rnd.sample(range(4000), 100))) for i in range(400)]
+    dealt = []
+    whole = x.searched
+    monkeypatch.setattr(x, "searched", lambda sets, *rest: dealt.append(sets.select("node").distinct().count()) or whole(sets, *rest))
+    assert all(r.component_id == r.doc_id for r in x.ngram_components(frame(rows), size=1).collect())
+    assert sum(dealt) < 40
