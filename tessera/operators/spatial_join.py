@@ -13,11 +13,15 @@ from tessera.operators.tiles import decided, tiled
 from tessera.scratch import Scratch
 
 
-def candidate_runs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
-    """Candidates as runs of a right row and some of its left ones, with their geometries; see ``fetch.runs``."""
+def candidate_runs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None, bare: bool = False) -> DataFrame:
+    """Candidates as runs of a right row and some of its left ones, with their geometries; see ``fetch.runs``. ``bare`` runs have no other columns but row numbers and points."""
     register(left.sparkSession)
     left, right = numbered(left), numbered(right)
-    return runs(candidate_pairs(left, right, strategy, cell, regions), left, right)
+    pairs = candidate_pairs(left, right, strategy, cell, regions)
+    if bare:
+        pairs = pairs.select(*[c for p in ("left_", "right_") for c in (f"{p}{ROW}", f"{p}points") if c in pairs.columns])
+        left, right = (layer.select(ROW, "geom") for layer in (left, right))
+    return runs(pairs, left, right)
 
 
 def refine(found: DataFrame, function: str, result: str) -> DataFrame:

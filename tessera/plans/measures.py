@@ -24,7 +24,7 @@ _FUNCTION = {"intersection_points": "st_intersection_npoints_each", "intersects"
 
 def measure(left: DataFrame, right: DataFrame, what: Measure = "intersection_points", strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None) -> DataFrame:
     """One row: ``value`` and ``skipped``, both long."""
-    each = candidate_runs(left, right, strategy, cell, regions).select(F.explode(call(_FUNCTION[what], F.col("lefts.left_geom"), F.col("right_geom"))).alias("m"))
+    each = candidate_runs(left, right, strategy, cell, regions, bare=True).select(F.explode(call(_FUNCTION[what], F.col("lefts.left_geom"), F.col("right_geom"))).alias("m"))
     m = F.col("m")
     value = (m > 0).cast("long") if what == "nonempty" else m.cast("long")
     return each.agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"), F.count_if(m.isNull()).alias("skipped"))
