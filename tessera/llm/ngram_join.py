@@ -3,11 +3,11 @@
 Two documents link when their sets of word n-grams have ``den * shared >= num * union``. Documents of equal sets are
 one node. The search is exact:
 
-1. Two sets that link differ in at most D n-grams, a number that their size gives. The n-grams are dealt by their hash to twice as many parts, or more, so at least as many parts
-   as there are, less D, hold the same of both: by any order of parts, the first D + 1 of each set have one in common. That order is by how rare their n-grams are together, which a sketch of fixed size
-   that counts n-grams over all documents tells; parts are named by what they hold. Sets of less than twice a size are dealt alike, and a set that may link with larger ones, of the next such
-   range, is dealt their way too. A part holds several n-grams, so sets that don't link seldom share one, however many documents there are, and nodes of a part are chained, not paired.
-   Components of what is chained are clusters outside of which there is no link.
+1. Two sets that link differ in at most D n-grams, a number that their size gives. The n-grams are dealt by their hash to a quarter more parts, or half as many again, so at least as many parts
+   as there are, less D, hold the same of both: by any order of parts, the first D + 1 of each set have one in common. Parts are named by what they hold, and that order is by how many sets have
+   the part, counted exactly. A part that no other set has joins nothing, so a set with more than D of these is in no link, however many documents there are, and others need only
+   the rarest of their shared parts. Sets of less than twice a size are dealt alike, and a set that may link with larger ones, of the next such
+   range, is dealt their way too. Nodes of a part are chained, not paired. Components of what is chained are clusters outside of which there is no link.
 2. A cluster is dealt into blocks of about ``BLOCK_NODES`` nodes or ``BLOCK_BYTES`` of n-grams at most. Within a block every node is searched by
    T-occurrence: the shortest inverted lists are merged by a heap, the T - 1 longest are probed by binary search (DivideSkip), or, where many
    candidates are left, by position in those lists' bit rows; nodes
@@ -32,18 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.broadcasts import light
 from tessera.llm.components import UnionFind, components, star_batch
 from tessera.llm.names import unused
-from tessera.llm.sketch import blocks, bloom, combined, may_hold
+from tessera.llm.sketch import bloom, may_hold
 from tessera.llm.words import Slice, distinct_shingles, frugal, mix, slices
-from tessera.scratch import Scratch
+from tessera.scratch import Scratch, shuffles_dropped
 
-SKETCH_BITS = 20
+MOST_COUNTED = 1 << 16  # sets of a part; more count as so many
 BLOCK_NODES, BLOCK_BYTES = 2048, 48 << 20
 PROBED_AT_ONCE = 64
 MAX_BROADCAST = 500_000
@@ -75,31 +75,19 @@ def binaries(keys: list[bytes]) -> pa.Array:
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, node, short) of every row, ``short`` being 8 bytes of node; and, where id is null and block isn't, the blocks of each task's sketch."""
-    bins = 1 << SKETCH_BITS
+    """(id, n, node, short) of every row, ``short`` being 8 bytes of node."""
     kind = docs.schema["id"].dataType.simpleString()
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(bins, np.uint32)
-        seen: set[bytes] = set()
-        id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
             for s in slices(batch.column(1)):
                 doc, h = distinct_shingles(s, size)
-                n = np.bincount(doc, minlength=s.n_docs)
                 keys = node_keys(s, doc, h)
-                new, names = fresh(keys, n, seen)
-                counts += np.bincount((h[new[doc]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=bins).astype(np.uint32)
                 ids = batch.column(0).slice(s.first, s.n_docs)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), binaries(names), pa.array(keys[:, 0].view(np.int64)), pa.nulls(s.n_docs, pa.int32()), pa.nulls(s.n_docs, pa.binary())], ["id", "n", "node", "short", "block", "content"])
-        if id_type is not None:
-            numbers, content = blocks(counts)
-            none = len(numbers)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], ["id", "n", "node", "short", "block", "content"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.bincount(doc, minlength=s.n_docs)), binaries([k.tobytes() for k in keys]), pa.array(keys[:, 0].view(np.int64))], ["id", "n", "node", "short"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, node binary, short long, block int, content binary")
+    return docs.mapInArrow(run, f"id {kind}, n long, node binary, short long")
 
 
 def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -108,51 +96,42 @@ def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def parts_of(k: int, num: int, den: int) -> int:
-    """Parts that the n-grams are dealt to by their hash, for sets of 2 ** k to 2 ** (k + 1) - 1 of them: twice as many as may differ.
+    """Parts that the n-grams are dealt to by their hash, for sets of 2 ** k to 2 ** (k + 1) - 1 of them: a quarter more than may differ, of small sets half as many again."""
+    return int((1.5 if k < 8 else 1.25) * most_apart(np.array([(2 << k) - 1]), num, den)[0]) + 1
 
-    Small sets have more, so that a line that many documents have doesn't fill the parts that count.
-    """
-    return int((4 if k < 8 else 2) * most_apart(np.array([(2 << k) - 1]), num, den)[0]) + 1
 
+def parts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(part, node, tag), nodes by 8 bytes: names of the parts of each node's set. A task sends a set once.
 
-def parts(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(part, node), nodes by 8 bytes: names of the parts of each node's set that it has to share one of with any node it links with. A task sends a set once."""
-    rarity = np.round(16 * np.log2(np.maximum(sketch.sum(dtype=np.float64), 1) / np.maximum(sketch, 1))).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(np.clip(rarity, 0, 1023).astype(np.uint16))  # 2 << SKETCH_BITS bytes
+    ``tag`` has the range of sizes that the set is held against, and in its lower 32 bits how many of the parts needn't be shared: all but D + 1.
+    """
 
-    def of_space(k: np.ndarray, doc: np.ndarray, h: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, name) of the parts of documents that are held against sets of 2 ** k n-grams or more; k is -1 where there is none."""
+    def of_space(k: np.ndarray, doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, name, tag) of the parts of documents that are held against sets of 2 ** k n-grams or more; k is -1 where there is none."""
         keep = k[doc] >= 0
         doc, h = doc[keep], h[keep]
         if not len(doc):
-            return doc, h
+            return doc, h, doc
         n_parts = np.zeros(len(k), np.uint64)
         for x in np.unique(k[k >= 0]).tolist():
             n_parts[k == x] = parts_of(x, num, den)
         part = ((h >> np.uint64(32)) * n_parts[doc]) >> np.uint64(32)  # ascends with the hash
         starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
-        content = np.add.reduceat(mix(h), starts)
-        weight = np.add.reduceat(weights[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64), starts)
         owner = doc[starts]
-        name = mix(content + (k[owner].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((name, -weight, owner))
-        owner, name = owner[order], name[order]
-        first = np.searchsorted(owner, np.arange(len(k)))
+        name = mix(np.add.reduceat(mix(h), starts) + (k[owner].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         wanted = most_apart(n, num, den) + 1
-        within = np.arange(len(owner)) - first[owner] < wanted[owner]
-        lacking = np.flatnonzero((k >= 0) & (np.bincount(owner, minlength=len(k)) < np.minimum(wanted, n_parts.astype(np.int64))))
-        owners, names = [owner[within]], [name[within]]
-        for i in lacking.tolist():  # small sets: parts without n-grams come last
-            filled = set(part[starts][doc[starts] == i].tolist())
-            none = [j for j in range(int(n_parts[i])) if j not in filled][: int(wanted[i]) - len(filled)]
+        filled = np.bincount(owner, minlength=len(k))
+        owners, names = [owner], [name]
+        for i in np.flatnonzero((k >= 0) & (filled < wanted)).tolist():  # small sets: parts without n-grams come last
+            none = np.setdiff1d(np.arange(int(n_parts[i])), part[starts][owner == i].astype(np.int64))[: int(wanted[i] - filled[i])]
             owners.append(np.full(len(none), i))
-            names.append(mix(np.array(none, np.uint64) + np.uint64((int(k[i]) + 1) << 40)))
-        return np.concatenate(owners), np.concatenate(names)
+            names.append(mix(none.astype(np.uint64) + np.uint64((int(k[i]) + 1) << 40)))
+        owner, name = np.concatenate(owners), np.concatenate(names)
+        return owner, name, ((k.astype(np.int64) << 32) + np.maximum(filled - wanted, 0))[owner]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        weights = shared.value
         for batch in batches:
             for s in slices(batch.column(1)):
                 doc, h = distinct_shingles(s, size)
@@ -163,11 +142,53 @@ def parts(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) ->
                 largest = np.where(new, np.frexp((n * den // num).astype(np.float64))[1] - 1, -1)
                 k = own
                 while (k >= 0).any():
-                    owner, name = of_space(k, doc, h, n, weights)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(keys[owner, 0].view(np.int64))], ["part", "node"])
+                    owner, name, tag = of_space(k, doc, h, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(keys[owner, 0].view(np.int64)), pa.array(tag)], ["part", "node", "tag"])
                     k = np.where((k >= 0) & (k < largest), k + 1, -1)
 
-    return docs.mapInArrow(run, "part long, node long")
+    return docs.mapInArrow(run, "part long, node long, tag long")
+
+
+def shared(named: DataFrame) -> DataFrame:
+    """(part, node, tag, n) of the parts that several nodes have, each row once; n is by how many, at most ``MOST_COUNTED``."""
+
+    def told(x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        several = n > 1
+        return pa.RecordBatch.from_arrays([*(pa.array(c[several]) for c in x), pa.array(n[several].astype(np.int32))], ["part", "node", "tag", "n"])
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)  # rows of the part that may go on
+        many: int | None = None  # the part, if some of its rows have been sent
+        for batch in batches:
+            x = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if not x.shape[1]:
+                continue
+            x = x[:, np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])]  # else the same set from another task
+            starts = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+            sizes = np.diff(np.append(starts, x.shape[1]))
+            n = np.minimum(sizes, MOST_COUNTED)
+            if x[0, 0] == many:
+                n[0] = MOST_COUNTED
+            end = int(starts[-1])
+            many = int(x[0, -1]) if sizes[-1] > MOST_COUNTED or (len(starts) == 1 and x[0, 0] == many) else None
+            if many is not None:
+                n[-1] = MOST_COUNTED
+                end = x.shape[1] - 1
+            yield told(x[:, :end], np.repeat(n, sizes)[:end])
+            held = x[:, end:]
+        if held.shape[1]:
+            yield told(held, np.full(held.shape[1], held.shape[1] if many is None else MOST_COUNTED))
+
+    return named.repartition("part").sortWithinPartitions("part", "node").mapInArrow(run, "part long, node long, tag long, n int")
+
+
+def rarest(found: DataFrame) -> DataFrame:
+    """(part, node): of each node's shared parts as many of the rarest as, with those that it shares with none, make the first D + 1."""
+    own = Window.partitionBy("node", "tag")
+    spare = F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))
+    placed = found.withColumn("place", F.row_number().over(own.orderBy("n", "part"))).withColumn("of", F.count("*").over(own))
+    return placed.where(F.col("place") <= F.col("of") - spare).select("part", "node")
 
 
 def joined(named: DataFrame) -> DataFrame:
@@ -345,11 +366,10 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     """(doc_id, n_shingles, component_id, node) of every row: component_id is the smallest id that links reach."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    with Scratch(spark) as s:
+    with Scratch(spark) as s, shuffles_dropped(spark):
         made = s.table(profile(texts, size))
-        sketch = combined(made.where("block is not null").select("block", "content"), 1 << SKETCH_BITS, "uint32", "sum")
-        rows = made.where("block is null").select("id", "n", "node")
-        clusters = s.table(components(joined(parts(texts, size, num, den, sketch)), s))
+        rows = made.select("id", "n", "node")
+        clusters = s.table(components(joined(rarest(s.table(shared(parts(texts, size, num, den))))), s))
         few = clusters.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
         belongs = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
         blocks_of = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")

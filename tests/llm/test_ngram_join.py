@@ -98,3 +98,25 @@ def test_sets_that_share_some_ngrams_are_no_cluster(frame, monkeypatch):
     monkeypatch.setattr(x, "searched", lambda sets, *rest: dealt.append(sets.select("node").distinct().count()) or whole(sets, *rest))
     assert all(r.component_id == r.doc_id for r in x.ngram_components(frame(rows), size=1).collect())
     assert sum(dealt) < 40
+
+
+def test_sets_with_enough_parts_of_their_own_are_in_no_cluster(frame, monkeypatch):
+    """The same at a lower similarity, where parts are small and many are shared: more of a set's parts than may differ are its own."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(f"w{j}" for j in rnd.sample(range(4000), 100))) for i in range(400)]
+    dealt = []
+    whole = x.searched
+    monkeypatch.setattr(x, "searched", lambda sets, *rest: dealt.append(sets.select("node").distinct().count()) or whole(sets, *rest))
+    assert all(r.component_id == r.doc_id for r in x.ngram_components(frame(rows), size=1, num=80).collect())
+    assert sum(dealt) < 200
+
+
+def test_parts_of_very_many_sets_are_counted_alike_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(x, "MOST_COUNTED", 4)
+    rows = [(p, node, 0) for p, n in ((1, 1), (2, 2), (3, 4), (4, 5), (5, 23), (6, 1), (7, 3)) for node in range(n) for _ in range(1 + node % 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = x.shared(spark.createDataFrame(rows, "part long, node long, tag long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert sorted((r.part, r.node, r.n) for r in got) == [(p, node, min(n, 4)) for p, n in ((2, 2), (3, 4), (4, 5), (5, 23), (7, 3)) for node in range(n)]
