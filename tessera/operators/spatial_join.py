@@ -1,4 +1,4 @@
-"""Joins of two layers by exact geometry: envelope candidates on plain columns, then refinement run by run. A pair that cannot be computed is skipped."""
+"""Joins of two layers by exact geometry: envelope candidates on plain columns, then refinement run by run; light rows are refined within their cells. A pair that cannot be computed is skipped."""
 
 from __future__ import annotations
 
@@ -6,17 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import call, register
-from tessera.operators.envelope_join import Strategy, candidate_pairs
+from tessera.operators import grid
+from tessera.operators.envelope_join import ENVELOPE, KNOWN, MEET, Strategy, candidate_pairs
 from tessera.operators.fetch import ROW, each_pair, fetched, numbered, runs
+from tessera.operators.light import cell_runs, light
 from tessera.operators.regions import Regions
 from tessera.operators.tiles import decided, tiled
 from tessera.scratch import Scratch
 
 
 def candidate_runs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None, bare: bool = False) -> DataFrame:
-    """Candidates as runs of a right row and some of its left ones, with their geometries; see ``fetch.runs``. ``bare`` runs have no other columns but row numbers and points."""
+    """Candidates as runs of a right row and some of its left ones, with their geometries; ``bare`` runs have no other columns but row numbers and points.
+
+    By grid or partitions, pairs of light rows are run within their cells (``operators.light``); all others are found on plain columns and fetched for, see ``fetch.runs``.
+    """
     register(left.sparkSession)
     left, right = numbered(left), numbered(right)
+    if bare:
+        left, right = (layer.select(*[c for c in (ROW, "points", *ENVELOPE, "pid", "geom") if c in layer.columns]) for layer in (left, right))
+    if strategy not in ("grid", "partitioned"):
+        return _fetched_runs(left, right, strategy, cell, regions, bare)
+    (light_left, heavy_left), (light_right, heavy_right) = (_by_weight(layer) for layer in (left, right))
+    found = [_light_runs(light_left, light_right, strategy, cell, regions, bare)]
+    found += [_fetched_runs(a, b, strategy, cell, regions, bare) for a, b in ((heavy_left, right), (light_left, heavy_right)) if a is not None and b is not None]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more.select(*[F.col(f"`{c}`") for c in out.columns if c != "lefts"], F.transform("lefts", lambda x: F.struct(*[x[f.name].alias(f.name) for f in out.schema["lefts"].dataType.elementType])).alias("lefts")))
+    return out
+
+
+def _by_weight(layer: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The layer's light rows, and the others if there are any."""
+    is_light = light(layer)
+    others = layer.where(f"not ({is_light})")
+    return (layer, None) if others.isEmpty() else (layer.where(is_light), others)
+
+
+def _light_runs(left: DataFrame, right: DataFrame, strategy: Strategy, cell: float | None, regions: Regions | None, bare: bool) -> DataFrame:
+    left, right = left.where(KNOWN), right.where(KNOWN)
+    shape = grid.find(left.select(*ENVELOPE), right.select(*ENVELOPE), cell, most_broad=0)
+    wanted = tuple([c for c in layer.columns if not bare or c in (ROW, "points", "geom")] for layer in (left, right))
+    return cell_runs(left, right, shape, MEET, strategy == "partitioned", regions, wanted)
+
+
+def _fetched_runs(left: DataFrame, right: DataFrame, strategy: Strategy, cell: float | None, regions: Regions | None, bare: bool) -> DataFrame:
     pairs = candidate_pairs(left, right, strategy, cell, regions)
     if bare:
         pairs = pairs.select(*[c for p in ("left_", "right_") for c in (f"{p}{ROW}", f"{p}points") if c in pairs.columns])

@@ -31,6 +31,12 @@ def _boxes(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows of a table of few files, which few tasks read, dealt to more: parsing takes longer."""
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, 12)
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+
+
 def _box_wkt(x1: str = "x1", y1: str = "y1") -> str:
     a, b, c, d = f"({x1})", f"({y1})", f"({x1} + w)", f"({y1} + h)"
     ring = [(a, b), (c, b), (c, d), (a, d), (a, b)]
@@ -41,7 +47,7 @@ def layer(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """Layer a (from part) or b (from customer), parsed from WKT."""
     register(spark)
     table, sql = {"a": ("part", LAYER_A), "b": ("customer", LAYER_B)}[which]
-    lines = _boxes(spark, sf_dir, table, sql).selectExpr("id", "pid", f"concat('POLYGON', {_box_wkt()}) AS value")
+    lines = _spread(_boxes(spark, sf_dir, table, sql)).selectExpr("id", "pid", f"concat('POLYGON', {_box_wkt()}) AS value")
     return parse_lines(lines)
 
 
@@ -107,10 +113,10 @@ def _shapes_and_rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """Points, level lines and pairs of points, by turns; boxes that have a hole."""
     register(spark)
     shape = "CASE id % 3 WHEN 0 THEN concat('POINT(', x1, ' ', y1, ')') WHEN 1 THEN concat('LINESTRING(', x1, ' ', y1, ',', x1 + w, ' ', y1, ')') ELSE concat('MULTIPOINT((', x1, ' ', y1, '),(', x1 + w, ' ', y1, '))') END"
-    shapes = parse_lines(_boxes(spark, sf_dir, "part", LAYER_A).selectExpr("id", f"{shape} AS value"))
+    shapes = parse_lines(_spread(_boxes(spark, sf_dir, "part", LAYER_A)).selectExpr("id", f"{shape} AS value"))
     outer = "(x1, ' ', y1, ',', x1 + 20, ' ', y1, ',', x1 + 20, ' ', y1 + 20, ',', x1, ' ', y1 + 20, ',', x1, ' ', y1)"
     hole = "(x1 + 4, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 4, ',', x1 + 16, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 16, ',', x1 + 4, ' ', y1 + 4)"
-    rings = parse_lines(_boxes(spark, sf_dir, "customer", LAYER_B).selectExpr("id", f"concat('POLYGON((', concat{outer}, '),(', concat{hole}, '))') AS value"))
+    rings = parse_lines(_spread(_boxes(spark, sf_dir, "customer", LAYER_B)).selectExpr("id", f"concat('POLYGON((', concat{outer}, '),(', concat{hole}, '))') AS value"))
     return stored(shapes), stored(rings)
 
 
