@@ -18,9 +18,9 @@ from tessera.operators.fetch import ROW, is_plain
 from tessera.operators.regions import Regions
 
 LIGHT = 1024  # bytes
-LIST = 512  # left rows of a cell that are one list
+LIST = 64  # left rows of a cell that are one list
 PLACES = 4  # places of a crowded cell along each axis
-MOST = PLACES * PLACES * LIST  # left rows of a list, about, if all are in one place: LIGHT times as many bytes
+MOST = 8192  # left rows of a list, about, if all are in one place: LIGHT times as many bytes
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
 
 
