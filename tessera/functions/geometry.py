@@ -52,6 +52,8 @@ FUNCTIONS: list[tuple[str, str, T.DataType | str]] = [
     ("st_intersection_npoints_each", "IntersectionPointsEach", "array<int>"),
     ("st_union_npoints_each", "UnionPointsEach", "array<int>"),
     ("st_tiles", "Tiles", "array<struct<xmin:double,ymin:double,xmax:double,ymax:double,full:boolean>>"),
+    ("st_tile_codes", "TileCodes", T.BinaryType()),
+    ("st_intersects_each_by_tiles", "IntersectsEachByTiles", "array<boolean>"),
     ("st_preparations", "Preparations", T.LongType()),
 ]
 

@@ -11,7 +11,7 @@ from tessera.operators.envelope_join import ENVELOPE, KNOWN, MEET, Strategy, can
 from tessera.operators.fetch import ROW, each_pair, fetched, numbered, runs
 from tessera.operators.light import cell_runs, light
 from tessera.operators.regions import Regions
-from tessera.operators.tiles import decided, tiled
+from tessera.operators.tiles import CODES, coded, decided, tiled
 from tessera.scratch import Scratch
 
 
@@ -69,7 +69,7 @@ def _without_rows(pairs: DataFrame) -> DataFrame:
 def intersecting_pairs(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, regions: Regions | None = None, most_points: int | None = None) -> DataFrame:
     """Pairs whose geometries intersect, with both layers' columns.
 
-    With ``most_points``, right polygons of more points are held against in tiles first (``operators.tiles``), and fetched only for pairs that tiles don't decide.
+    With ``most_points``, right polygons of more points are held against in tiles first (``operators.tiles``); heavy ones are fetched only for pairs that tiles don't decide.
     """
     if most_points is not None:
         return _by_tiles(left, right, strategy, cell, most_points)
@@ -82,11 +82,24 @@ def _by_tiles(left: DataFrame, right: DataFrame, strategy: Strategy, cell: float
         raise ValueError("tiles are for strategies that meet each pair, not for partitions")
     register(left.sparkSession)
     left, right = numbered(left), numbered(right)
+    if strategy != "grid":
+        return _without_rows(_fetched_by_tiles(left, right, strategy, cell, most_points))
+    (light_left, heavy_left), (light_right, heavy_right) = (_by_weight(layer) for layer in (left, right))
+    near = _light_runs(light_left, coded(light_right, most_points), strategy, cell, None, False)
+    met = call("st_intersects_each_by_tiles", F.col("lefts.left_geom"), F.col("right_geom"), F.col(f"right_{CODES}"))
+    out = each_pair(near.withColumn("__met", met).drop(f"right_{CODES}"), "__met").where("__met").drop("__met")
+    for a, b in ((heavy_left, right), (light_left, heavy_right)):
+        if a is not None and b is not None:
+            out = out.unionByName(_fetched_by_tiles(a, b, strategy, cell, most_points))
+    return _without_rows(out)
+
+
+def _fetched_by_tiles(left: DataFrame, right: DataFrame, strategy: Strategy, cell: float | None, most_points: int) -> DataFrame:
     tiles = Scratch(left.sparkSession).table(tiled(right, most_points), keep=True)
     met = Scratch(left.sparkSession).table(decided(candidate_pairs(left, tiles, strategy, cell)), keep=True)
     sure = fetched(met.where("__sure").drop("__sure"), left, right)
     tried = refine(runs(met.where("not __sure").drop("__sure"), left, right), "st_intersects_each", "__met").where("__met").drop("__met")
-    return _without_rows(sure.unionByName(tried))
+    return sure.unionByName(tried)
 
 
 def intersections(left: DataFrame, right: DataFrame, strategy: Strategy = "grid", cell: float | None = None, keep_empty: bool = True, regions: Regions | None = None) -> DataFrame:
